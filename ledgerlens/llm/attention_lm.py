@@ -10,14 +10,15 @@ share a slot, and the slot's probability evenly.
 Classes either begin a word (or end the text) or go on with one, so the network gives the
 probability that a word is over, and with it a proper probability of whole words:
     P(word) = P(first id | a word begins) * prod P(next id) * P(the word is over).
-The model's probability of a word mixes three causal parts with fixed weights: the network's; the
+The model's probability of a word mixes three causal parts: the network's; the
 share of the word in all training tokens; and a copy head that attends evenly to all earlier
-words of the text. All three sum to at most one, and so does the mixture.
+words of the text. All three sum to at most one, and so does a mixture. A text's
+probability is the mean over a few fixed mixtures, so that each text leans to the one that suits it.
 
 Training covers the corpus in two ways: the word counts are of all training texts;
-the network is fitted by rounds of local SGD, in which each partition trains on its share of
-a fixed fraction of the training texts, and the weights are averaged in two levels, so
-that what is gathered grows with the input, and no task or driver sees more than a bounded part.
+the network is fitted by rounds of local SGD, in which each partition trains on its part of
+FIT_ROOT * sqrt(n) training texts, chosen by hash, and the weights are averaged in two levels, so
+that what is learnt from grows with the input, and no task or driver sees more than a small part of it.
 
 Scoring deals the texts to slices of bounded bytes by a hash of id and text. Each slice
 asks for the counts of its distinct words once, however often they occur.
@@ -35,15 +36,17 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import LOWER, by_bytes, ensure_checkpoint_dir, keyed_text, ragged, ranges, read, texts_of
+from ledgerlens.llm.common import by_bytes, ensure_checkpoint_dir, keyed_text, ragged, ranges, read, strings
 from ledgerlens.llm.linear import fold
 
 WINDOW, STRIDE = 16, 12
@@ -52,10 +55,10 @@ CLASSES, MEMBERS = 32, 32
 SLOTS = CLASSES * MEMBERS
 #: Slots of the first half begin a word; the first two are the end of the text, and the rarer word beginnings.
 END, RARE_FIRST, RARE_NEXT = 0, 1, SLOTS // 2
-#: One in so many training texts is used in each round of local SGD.
-FIT_SHARE, ROUNDS, BATCH, LEAST_STEPS, MOST_EPOCHS = 32, 2, 64, 300, 6
-#: Weights of the count, network and copy parts.
-COUNTED, NETWORK, COPIED = 0.55, 0.30, 0.15
+#: Each of ROUNDS of local SGD uses FIT_ROOT * sqrt(n) of n training texts (all of a small corpus), so what is learnt from grows with the input.
+FIT_ROOT, ROUNDS, BATCH, LEAST_STEPS, MOST_EPOCHS = 20, 2, 64, 300, 6
+#: Weights of the count, network and copy parts that a text may have; all are as likely beforehand.
+MIXTURES = ((0.15, 0.68, 0.17), (0.45, 0.40, 0.15), (0.80, 0.08, 0.12), (0.93, 0.06, 0.01), (0.03, 0.95, 0.02), (0.10, 0.40, 0.50), (0.03, 0.07, 0.90), (0.30, 0.05, 0.65))
 SLICE_BYTES = 8 << 20
 #: Words whose ids a task keeps.
 KEPT_WORDS = 200_000
@@ -146,24 +149,8 @@ class Network:
         z = np.concatenate([x, np.matmul(a, v)], axis=2).reshape(-1, 2 * WIDTH)
         return np.maximum(z @ self.w1 + self.b1, 0), (x, q, k, v, a, z)
 
-    def log_probs(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability of the target slots, and that a word begins (or the text ends)."""
-        c = h @ self.wc + self.bc
-        c -= c.max(axis=1, keepdims=True)
-        e = np.exp(c)
-        begins, total = e[:, : CLASSES // 2].sum(axis=1), e.sum(axis=1)
-        log_total = np.log(total)
-        kind, member = np.divmod(target, MEMBERS)
-        out = c[np.arange(len(c)), kind] - log_total
-        order = np.argsort(kind.astype(np.uint8), kind="stable")
-        ends = np.cumsum(np.bincount(kind, minlength=CLASSES))
-        for k in range(CLASSES):
-            rows = order[ends[k - 1] if k else 0 : ends[k]]
-            if len(rows):
-                m = h[rows] @ self.wm[k] + self.bm[k]
-                m -= m.max(axis=1, keepdims=True)
-                out[rows] += m[np.arange(len(rows)), member[rows]] - np.log(np.exp(m).sum(axis=1))
-        return out, np.log(np.maximum(begins, 1e-30)) - log_total
+    def scorer(self) -> Scorer:
+        return Scorer(self)
 
     def gradient(self, x_in: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
         """Of the mean loss over the places with weight 1."""
@@ -179,8 +166,10 @@ class Network:
         c *= w[:, None]
         grad.wc[...], grad.bc[...] = h.T @ c, c.sum(axis=0)
         dh = c @ self.wc.T
-        for i in np.unique(kind[w > 0]).tolist():
-            rows = np.flatnonzero((kind == i) & (w > 0))
+        order = np.argsort(np.where(w > 0, kind, CLASSES).astype(np.uint8), kind="stable")
+        ends = np.append(0, np.cumsum(np.bincount(kind[w > 0], minlength=CLASSES)))
+        for i in np.flatnonzero(np.diff(ends)).tolist():
+            rows = order[ends[i] : ends[i + 1]]
             m = h[rows] @ self.wm[i] + self.bm[i]
             m = np.exp(m - m.max(axis=1, keepdims=True))
             m /= m.sum(axis=1, keepdims=True)
@@ -207,6 +196,66 @@ class Network:
         return grad.flat, float(loss)
 
 
+class Scorer:
+    """Forward alone, with products of weights folded, and sums over short axes as matrix products.
+
+    Logits are cut at CEILING instead of being shifted by their maximum, which
+    changes nothing for the sizes that training gives.
+    """
+
+    CEILING = np.float32(60)
+
+    def __init__(self, net: Network):
+        self.net = net
+        self.match = (net.wq @ net.wk.T * SCALE).astype(np.float32)
+        self.w1 = np.concatenate([net.w1[:WIDTH], net.wv @ net.w1[WIDTH:]]).astype(np.float32)
+        self.sums = np.stack([np.ones(CLASSES), np.arange(CLASSES) < CLASSES // 2], axis=1).astype(np.float32)
+        self.ones, self.full = np.ones(MEMBERS, np.float32), np.ones(WINDOW, np.float32)
+        self.causal = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+
+    def hidden(self, x_in: np.ndarray) -> np.ndarray:
+        own = self.net.emb.take(x_in, axis=0)
+        own += self.net.pos
+        flat = own.reshape(-1, WIDTH)
+        a = np.matmul((flat @ self.match).reshape(own.shape), np.ascontiguousarray(own.transpose(0, 2, 1)))
+        np.minimum(a, self.CEILING, out=a)
+        np.exp(a, out=a)
+        a *= self.causal
+        h = np.matmul(a, own).reshape(-1, WIDTH)
+        h /= a.reshape(-1, WINDOW) @ self.full[:, None]
+        h = h @ self.w1[WIDTH:]
+        h += flat @ self.w1[:WIDTH]
+        h += self.net.b1
+        return np.maximum(h, 0, out=h)
+
+    def log_probs(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of the target slots, and that a word begins (or the text ends)."""
+        kind, member = np.divmod(target, MEMBERS)
+        order = np.argsort(kind.astype(np.uint8), kind="stable")
+        h, kind, member = h.take(order, axis=0), kind[order], member[order]
+        c = h @ self.net.wc
+        c += self.net.bc
+        np.minimum(c, self.CEILING, out=c)
+        log = c[np.arange(len(c)), kind]
+        np.exp(c, out=c)
+        total, begins = (c @ self.sums).T
+        ends = np.append(0, np.cumsum(np.bincount(kind, minlength=CLASSES)))
+        inner = np.empty(len(c), np.float32)
+        for k in np.flatnonzero(np.diff(ends)).tolist():
+            at, to = ends[k], ends[k + 1]
+            m = h[at:to] @ self.net.wm[k]
+            m += self.net.bm[k]
+            np.minimum(m, self.CEILING, out=m)
+            log[at:to] += m[np.arange(to - at), member[at:to]]
+            np.exp(m, out=m)
+            inner[at:to] = m @ self.ones
+        out, starts = np.empty(len(c), np.float32), np.empty(len(c), np.float32)
+        log_total = np.log(total)
+        out[order] = log - log_total - np.log(inner)
+        starts[order] = np.log(np.maximum(begins, 1e-30)) - log_total
+        return out, starts
+
+
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For sequences laid one after the other: each window's first place, its number of places, and how many of them at its end it scores."""
     count = 1 + np.maximum(0, -(-(lengths - WINDOW) // STRIDE))
@@ -218,56 +267,71 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start[owner] + first, size, scored
 
 
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after the other, and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(strings(texts)))
+    flat, number = parts.flatten(), np.asarray(pc.list_value_length(parts)).astype(np.int64)
+    some = np.asarray(pc.binary_length(flat)) > 0  # white space at an end leaves empty words
+    if not some.all():
+        number = np.bincount(np.repeat(np.arange(len(number)), number)[some], minlength=len(number))
+        flat = flat.filter(pa.array(some))
+    return flat, number
+
+
 class Reader:
-    """Texts to words, and words to slots."""
+    """Texts to words, and words to slots. Keeps the ids of words, up to a bound."""
 
     def __init__(self, path: str, slots: Slots | None):
         self.model, self.slots = subwords(path), slots
-        self.kept: dict[bytes, bytes] = {}
-
-    @staticmethod
-    def words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-        parts = [t.translate(LOWER).split() for t in texts]
-        return [w for p in parts for w in p], np.fromiter(map(len, parts), np.int64, len(parts))
+        self.forget()
 
-    def ids(self, words: list[bytes]) -> list[list[int]]:
-        return self.model.encode([w.decode("utf-8", "replace") for w in words])
+    def forget(self) -> None:
+        self.row: dict[str, int] = {}
+        self.kept, self.begin, self.number = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def slots_of(self, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Slots of all words, the log share of ids in shared slots summed by word, and how many slots each word has."""
-        new = [w for w in distinct if w not in self.kept]
+    def rows_of(self, distinct: list[str]) -> np.ndarray:
+        """Where each word's ids are kept."""
+        new = [w for w in distinct if w not in self.row]
         if new:
-            if len(self.kept) + len(new) > KEPT_WORDS:
-                self.kept.clear()
+            if self.row and len(self.row) + len(new) > KEPT_WORDS:
+                self.forget()
                 new = distinct
-            # A word that the vocabulary reads as nothing, or as more than one word, still has one form.
-            self.kept.update((w, np.array(i or [0], np.int32).tobytes()) for w, i in zip(new, self.ids(new), strict=True))
-        raw = [self.kept[w] for w in distinct]
-        number = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        ids = np.frombuffer(b"".join(raw), np.int32)
+            # A word that the vocabulary reads as nothing still has one id.
+            ids = [i or [0] for i in self.model.encode(new)]
+            number = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.row.update(zip(new, range(len(self.begin), len(self.begin) + len(new)), strict=True))
+            self.begin = np.append(self.begin, len(self.kept) + np.cumsum(number) - number)
+            self.number = np.append(self.number, number)
+            self.kept = np.append(self.kept, np.fromiter(chain.from_iterable(ids), np.int32, int(number.sum())))
+        return np.fromiter(map(self.row.__getitem__, distinct), np.int64, len(distinct))
+
+    def slots_of(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slots of all words, the log share of ids in shared slots summed by word, and how many slots each word has."""
+        row = self.rows_of(distinct)
+        number = self.number[row]
+        ids = self.kept[ranges(self.begin[row], number)]
         slots = self.slots.slot[ids].astype(np.int64)
         begins = ragged(number)[0]
         inner = np.ones(len(slots), bool)
         inner[begins] = False
+        # An id on the wrong side of a word's beginning takes the shared slot of its side.
         slots = np.where(inner & (slots < RARE_NEXT), RARE_NEXT, np.where(~inner & (slots >= RARE_NEXT), RARE_FIRST, slots))
         share = np.add.reduceat(self.slots.log_share[ids], begins) if len(ids) else np.zeros(0)
         return slots, share, number
 
-    def sequences(self, texts: list[bytes]):
+    def sequences(self, texts: pa.Array):
         """Words as numbers of distinct words; slots of each text with its end, and where each word begins."""
-        words, n_words = self.words(texts)
-        distinct = list(set(words))
-        index = dict(zip(distinct, range(len(distinct)), strict=True))
-        number = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        flat, n_words = words_in(texts)
+        coded = flat.dictionary_encode()
+        distinct, number = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
         slots, share, each = self.slots_of(distinct)
         begin = ragged(each)[0]
         long = each[number]
         inner = slots[ranges(begin[number], long)]
         # The end of each text goes after its last word.
-        first_word, of_text = ragged(n_words)
-        per_text = np.bincount(of_text, weights=long, minlength=len(texts)).astype(np.int64)
+        of_text = np.repeat(np.arange(len(n_words)), n_words)
+        lengths = np.bincount(of_text, weights=long, minlength=len(n_words)).astype(np.int64) + 1
         word_at = np.cumsum(long) - long + of_text
-        lengths = per_text + 1
         sequence = np.full(int(lengths.sum()), END, np.int64)
         body = np.ones(len(sequence), bool)
         body[np.cumsum(lengths) - 1] = False
@@ -275,21 +339,21 @@ class Reader:
         return distinct, number, n_words, share, word_at, sequence, lengths
 
 
-def network_logs(net: Network, sequence: np.ndarray, lengths: np.ndarray, most: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+def network_logs(net: Network, sequence: np.ndarray, lengths: np.ndarray, most: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Log probability of each slot given those before it in its text, and that a word begins there."""
     inputs = np.empty_like(sequence)
     inputs[1:] = sequence[:-1]
     inputs[ragged(lengths)[0]] = END
     first, size, scored = windows(lengths)
     log, begins = np.zeros(len(sequence), np.float32), np.zeros(len(sequence), np.float32)
-    column = np.arange(WINDOW)
+    column, scorer = np.arange(WINDOW), net.scorer()
     for at in range(0, len(first), most):
         f, n, s = first[at : at + most, None], size[at : at + most, None], scored[at : at + most, None]
         place = np.minimum(f + column, len(sequence) - 1)
-        h, _ = net.hidden(np.where(column < n, inputs[place], END))
+        h = scorer.hidden(np.where(column < n, inputs[place], END))
         own = (column < n) & (column >= n - s)
         where = place[own]
-        log[where], begins[where] = net.log_probs(h[own.reshape(-1)], sequence[where])
+        log[where], begins[where] = scorer.log_probs(h.compress(own.reshape(-1), axis=0), sequence[where])
     return log, begins
 
 
@@ -307,7 +371,7 @@ def earlier(number: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.nda
     return count, before
 
 
-def score_texts(reader: Reader, net: Network, texts: list[bytes], count_of: dict[bytes, int], n_tokens: int, n_ends: int) -> pd.DataFrame:
+def score_texts(reader: Reader, net: Network, texts: pa.Array, count_of: dict[str, int], n_tokens: int, n_ends: int) -> pd.DataFrame:
     """n_tokens, n_known, sum of log10(c + 1), and the model's log10 probability of each text."""
     distinct, number, n_words, share, word_at, sequence, lengths = reader.sequences(texts)
     log, begins = network_logs(net, sequence, lengths)
@@ -321,19 +385,25 @@ def score_texts(reader: Reader, net: Network, texts: list[bytes], count_of: dict
     counts = np.fromiter((count_of.get(w, 0) for w in distinct), np.float64, len(distinct))[number]
     copied, before = earlier(number, n_words)
     some = before > 0
-    counted = np.where(some, COUNTED, COUNTED + COPIED) * counts / max(n_tokens, 1)
-    p = counted + NETWORK * np.exp(np.minimum(own, 0.0)) + np.where(some, COPIED * copied / np.maximum(before, 1), 0.0)
-    floor = np.log(NETWORK) + own  # where a long word's probability underflows
-    words = np.where(p > 1e-290, np.log(np.maximum(p, 1e-300)), floor)
-    ends = np.log((1 - NETWORK) * n_ends / max(n_tokens, 1) + NETWORK * np.exp(np.minimum(log[end_at] - begins[end_at], 0.0)) + 1e-300)
-    owner = np.repeat(np.arange(len(texts)), n_words)
-    total = lambda x: np.bincount(owner, weights=x, minlength=len(texts))
+    owner = np.repeat(np.arange(len(n_words)), n_words)
+    total = lambda x: np.bincount(owner, weights=x, minlength=len(n_words))
+    share_counted = counts / max(n_tokens, 1)
+    by_network = np.exp(np.minimum(own, 0.0))
+    copied = copied / np.maximum(before, 1)
+    end_counted, end_network = n_ends / max(n_tokens, 1), np.exp(np.minimum(log[end_at] - begins[end_at], 0.0).astype(np.float64))
+    by_mixture = np.empty((len(MIXTURES), len(n_words)))
+    for i, (u, n, c) in enumerate(MIXTURES):
+        # A first word can't be a copy; an end is none.
+        p = np.where(some, u, u + c) * share_counted + n * by_network + np.where(some, c * copied, 0.0)
+        words = np.where(p > 1e-290, np.log(np.maximum(p, 1e-300)), math.log(n) + own)  # a very long word's probability underflows
+        by_mixture[i] = total(words) + np.log(np.where(n_words > 0, u, u + c) * end_counted + n * end_network + 1e-300)
+    score = np.logaddexp.reduce(by_mixture, axis=0) - math.log(len(MIXTURES))
     return pd.DataFrame(
         {
             "n_tokens": n_words + 1,
             "n_known": (total(counts > 0) + (n_ends > 0)).astype(np.int64),
             "log_counts": total(np.log10(counts + 1)) + math.log10(n_ends + 1),
-            "score": (total(words) + ends) / math.log(10),
+            "score": score / math.log(10),
         }
     )
 
@@ -342,15 +412,15 @@ def subword_counts(training: DataFrame, path: str) -> dict[int, int]:
     """Of the fit share; at most as many rows as the vocabulary has ids come to the driver. The ends are under -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, found = Reader(path, None), Counter()
+        reader, found = Reader(path, None), np.zeros(subwords(path).get_piece_size() + 1, np.int64)  # the last for the ends
         for batch in by_bytes(batches):
-            words, _ = reader.words(texts_of(batch))
-            counts = Counter(words)
-            for ids, n in zip(reader.ids(list(counts)), counts.values(), strict=True):
-                for i in ids:
-                    found[i] += n
+            coded = words_in(batch.column("text"))[0].dictionary_encode()
+            row = reader.rows_of(coded.dictionary.to_pylist())
+            counts = np.repeat(np.bincount(np.asarray(coded.indices), minlength=len(row)), reader.number[row])
+            found[:-1] += np.bincount(reader.kept[ranges(reader.begin[row], reader.number[row])], weights=counts, minlength=len(found) - 1).astype(np.int64)
             found[-1] += batch.num_rows
-        yield pa.RecordBatch.from_pydict({"id": pa.array(list(found), pa.int32()), "n": pa.array(list(found.values()), pa.int64())})
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(some == len(found) - 1, -1, some), pa.int32()), pa.array(found[some])], names=["id", "n"])
 
     return {r["id"]: r["n"] for r in training.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
 
@@ -372,9 +442,10 @@ def averaged(parts: DataFrame) -> np.ndarray | None:
     return (w / total).astype(np.float32) if total else None
 
 
-def train(training: DataFrame, path: str) -> tuple[Slots, np.ndarray]:
-    """Slots and network weights. Each round takes other texts: one in FIT_SHARE."""
-    share = lambda r: training.where(F.pmod(F.xxhash64("id", "text"), F.lit(FIT_SHARE)) == r)
+def train(training: DataFrame, path: str, n_texts: int) -> tuple[Slots, np.ndarray]:
+    """Slots and network weights. Rounds take other texts, where there are more than one round needs."""
+    one_in = max(1, int(math.sqrt(n_texts) / FIT_ROOT))
+    share = lambda r: training.where(F.pmod(F.xxhash64("id", "text"), F.lit(one_in)) == r % one_in)
     slots = make_slots(path, subword_counts(share(0), path))
     flat = Network.start(slots.log_counts).flat
     for r in range(ROUNDS):
@@ -385,7 +456,7 @@ def train(training: DataFrame, path: str) -> tuple[Slots, np.ndarray]:
             reader, net = Reader(path, slots), Network(flat.copy())
             m, v, step, seen, rng = np.zeros_like(flat), np.zeros_like(flat), 0, 0, np.random.default_rng(TaskContext.get().partitionId() + 1000 * r)
             for batch in by_bytes(batches):
-                _, _, _, _, _, sequence, lengths = reader.sequences(texts_of(batch))
+                _, _, _, _, _, sequence, lengths = reader.sequences(batch.column("text"))
                 inputs = np.append(END, sequence[:-1])
                 inputs[ragged(lengths)[0]] = END
                 first, size, scored = windows(lengths)
@@ -419,16 +490,18 @@ def word_counts(training: DataFrame) -> DataFrame:
         found: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(found), pa.binary()), "n": pa.array(list(found.values()), pa.int64())})
+            return pa.RecordBatch.from_pydict({"word": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
         for batch in by_bytes(batches):
-            found.update(Reader.words(texts_of(batch))[0])
+            words, counts = pc.value_counts(words_in(batch.column("text"))[0]).flatten()
+            for w, n in zip(words.to_pylist(), counts.to_pylist(), strict=True):
+                found[w] += n
             if len(found) > KEPT_WORDS:
                 yield out()
                 found.clear()
         yield out()
 
-    return training.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return training.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 def shared_table(df: DataFrame) -> DataFrame:
@@ -449,31 +522,30 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     n_distinct, n_words = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     size, n_ends = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 64), F.lit(0)), F.coalesce(F.sum((~held).cast("long")), F.lit(0))).first()
     n_tokens, n_distinct = n_words + n_ends, n_distinct + (n_ends > 0)
-    slots, flat = train(training, path)
+    slots, flat = train(training, path, n_ends)
     shared = docs.sparkSession.sparkContext.broadcast((slots, flat))
     n_slices = max(1, -(-size // SLICE_BYTES))
     sliced = docs.withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(n_slices))).repartition("slice")
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The distinct words of each slice; those of slices that come mixed are held for few batches."""
-        held_words: dict[int, set[bytes]] = {}
-        size = 0
+        held_words: dict[int, set[str]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
             for s, words in held_words.items():
-                yield pa.RecordBatch.from_pydict({"slice": pa.array([s] * len(words), pa.int64()), "word": pa.array(list(words), pa.binary())})
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([s] * len(words), pa.int64()), "word": pa.array(list(words), pa.string())})
 
         for batch in by_bytes(batches):
-            of = batch.column("slice").to_pylist()
-            for s, text in zip(of, texts_of(batch), strict=True):
-                held_words.setdefault(s, set()).update(text.translate(LOWER).split())
-            size += batch.num_rows
+            of = np.asarray(batch.column("slice"))
+            for s in np.unique(of).tolist():
+                words, _ = words_in(batch.column("text").filter(pa.array(of == s)))
+                held_words.setdefault(s, set()).update(words.dictionary_encode().dictionary.to_pylist())
             if sum(map(len, held_words.values())) > 4 * KEPT_WORDS:
                 yield from out()
                 held_words.clear()
         yield from out()
 
-    wanted = sliced.mapInArrow(asked, "slice long, word binary")
+    wanted = sliced.mapInArrow(asked, "slice long, word string")
     known = wanted.join(counts, "word").select("slice", "word", "c")
 
     def scored(key, texts: pa.Table, words: pa.Table) -> pa.Table:
@@ -482,7 +554,7 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         count_of = dict(zip(words.column("word").to_pylist(), words.column("c").to_pylist(), strict=True))
         out = []
         for batch in by_bytes(iter(texts.to_batches()), most=2 << 20):
-            found = score_texts(reader, net, texts_of(batch), count_of, n_tokens, n_ends)
+            found = score_texts(reader, net, batch.column("text"), count_of, n_tokens, n_ends)
             out.append(pa.Table.from_pydict({"doc_id": batch.column("id"), **{c: pa.array(found[c].to_numpy()) for c in found}}))
         empty = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_counts", pa.float64()), ("score", pa.float64())])
         return pa.concat_tables(out) if out else empty.empty_table()

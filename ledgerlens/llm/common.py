@@ -73,6 +73,14 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+def strings(column: pa.Array) -> pa.Array:
+    """A column of texts as large strings without nulls, in buffers of its own.
+
+    Some string kernels of Arrow misread arrays whose first offset is not zero, as slices have, so the texts are copied.
+    """
+    return column.cast(pa.large_string()).fill_null("").take(pa.array(np.arange(len(column))))
+
+
 def ragged(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start of each run, and the run that each element belongs to."""
     ends = np.cumsum(lengths)

@@ -33,8 +33,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from ledgerlens.llm.common import by_bytes, keyed_text, ragged, ranges, read
+from ledgerlens.llm.common import by_bytes, keyed_text, ragged, ranges, read, strings
 
 MARK = "▁"
 SEED, THETA = 7, 1.0
@@ -115,7 +116,7 @@ def segments_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 
     A text is cut before each space and each new line; only where spaces adjoin, or end a text, is there more to a segment.
     """
-    texts = texts.cast(pa.large_string()).fill_null("")
+    texts = strings(texts)
     loose = np.asarray(pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.ends_with(texts, " "), pc.or_(pc.or_(pc.starts_with(texts, " "), pc.match_substring(texts, CUT)), pc.equal(texts, "")))))
     parts = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~loose)), "\n", " " + CUT), " ")
     others = [SEGMENT.findall(" " + t) for t in texts.filter(pa.array(loose)).to_pylist()]
@@ -308,7 +309,7 @@ def with_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(each)), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, docs.schema.add(out, "array<int>"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
 def decoded(rows: DataFrame, path: str, column: str = "pieces", out: str = "decoded") -> DataFrame:
@@ -319,7 +320,7 @@ def decoded(rows: DataFrame, path: str, column: str = "pieces", out: str = "deco
             texts = [None if x is None else decode(x, path) for x in batch.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
-    return rows.mapInArrow(run, rows.schema.add(out, "string"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField(out, T.StringType())]))
 
 
 def default_model() -> str:
