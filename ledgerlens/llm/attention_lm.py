@@ -56,7 +56,7 @@ SLOTS = CLASSES * MEMBERS
 #: Slots of the first half begin a word; the first two are the end of the text, and the rarer word beginnings.
 END, RARE_FIRST, RARE_NEXT = 0, 1, SLOTS // 2
 #: Each of ROUNDS of local SGD uses FIT_ROOT * sqrt(n) of n training texts (all of a small corpus), so what is learnt from grows with the input.
-FIT_ROOT, ROUNDS, BATCH, LEAST_STEPS, MOST_EPOCHS = 20, 2, 64, 300, 6
+FIT_ROOT, ROUNDS, BATCH, LEAST_STEPS, MOST_EPOCHS = 16, 2, 128, 300, 6
 #: Weights of the count, network and copy parts that a text may have; all are as likely beforehand.
 MIXTURES = ((0.15, 0.68, 0.17), (0.45, 0.40, 0.15), (0.80, 0.08, 0.12), (0.93, 0.06, 0.01), (0.03, 0.95, 0.02), (0.10, 0.40, 0.50), (0.03, 0.07, 0.90), (0.30, 0.05, 0.65))
 SLICE_BYTES = 8 << 20
@@ -192,7 +192,11 @@ class Network:
             getattr(grad, name)[...] = flat.T @ d
             dx += (d @ getattr(self, name).T).reshape(dx.shape)
         grad.pos[...] = dx.sum(axis=0)
-        np.add.at(grad.emb, x_in.reshape(-1), dx.reshape(-1, WIDTH))
+        seen = x_in.reshape(-1)
+        order = np.argsort(seen.astype(np.uint16), kind="stable")
+        seen = seen[order]
+        heads = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
+        grad.emb[seen[heads]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], heads, axis=0)
         return grad.flat, float(loss)
 
 
@@ -230,13 +234,14 @@ class Scorer:
 
     def log_probs(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of the target slots, and that a word begins (or the text ends)."""
-        kind, member = np.divmod(target, MEMBERS)
+        kind, member = target // MEMBERS, target % MEMBERS
         order = np.argsort(kind.astype(np.uint8), kind="stable")
-        h, kind, member = h.take(order, axis=0), kind[order], member[order]
+        h, kind, member = h.take(order, axis=0), kind.take(order), member.take(order)
         c = h @ self.net.wc
         c += self.net.bc
         np.minimum(c, self.CEILING, out=c)
-        log = c[np.arange(len(c)), kind]
+        place = np.arange(0, c.size, CLASSES)
+        log = c.ravel().take(place + kind)
         np.exp(c, out=c)
         total, begins = (c @ self.sums).T
         ends = np.append(0, np.cumsum(np.bincount(kind, minlength=CLASSES)))
@@ -246,7 +251,7 @@ class Scorer:
             m = h[at:to] @ self.net.wm[k]
             m += self.net.bm[k]
             np.minimum(m, self.CEILING, out=m)
-            log[at:to] += m[np.arange(to - at), member[at:to]]
+            log[at:to] += m.ravel().take(place[: to - at] + member[at:to])
             np.exp(m, out=m)
             inner[at:to] = m @ self.ones
         out, starts = np.empty(len(c), np.float32), np.empty(len(c), np.float32)
@@ -392,10 +397,16 @@ def score_texts(reader: Reader, net: Network, texts: pa.Array, count_of: dict[st
     copied = copied / np.maximum(before, 1)
     end_counted, end_network = n_ends / max(n_tokens, 1), np.exp(np.minimum(log[end_at] - begins[end_at], 0.0).astype(np.float64))
     by_mixture = np.empty((len(MIXTURES), len(n_words)))
+    # A first word can't be a copy, so its share is the count's; an end is none either.
+    copied = np.where(some, copied, share_counted)
+    tiny = np.flatnonzero(share_counted + by_network + copied < 1e-280)  # a very long word's probability underflows
     for i, (u, n, c) in enumerate(MIXTURES):
-        # A first word can't be a copy; an end is none.
-        p = np.where(some, u, u + c) * share_counted + n * by_network + np.where(some, c * copied, 0.0)
-        words = np.where(p > 1e-290, np.log(np.maximum(p, 1e-300)), math.log(n) + own)  # a very long word's probability underflows
+        words = u * share_counted
+        words += n * by_network
+        words += c * copied
+        words[tiny] = 1.0
+        np.log(words, out=words)
+        words[tiny] = math.log(n) + own[tiny]
         by_mixture[i] = total(words) + np.log(np.where(n_words > 0, u, u + c) * end_counted + n * end_network + 1e-300)
     score = np.logaddexp.reduce(by_mixture, axis=0) - math.log(len(MIXTURES))
     return pd.DataFrame(
