@@ -39,9 +39,9 @@ from ledgerlens.llm.common import by_bytes, keyed_text, ragged, ranges, read, st
 
 MARK = "▁"
 SEED, THETA = 7, 1.0
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 #: Edges of distinct segments that a task keeps; the lattice starts anew beyond it.
-KEPT_EDGES = 8_000_000
+KEPT_EDGES = 4_000_000
 SEGMENT = re.compile(r"\n[^ \n]*| *[^ \n]+| +")
 #: Stands for a space that isn't there, before a new line, while Arrow cuts at spaces.
 CUT = "\x01"
