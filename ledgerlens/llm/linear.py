@@ -13,8 +13,8 @@ from ledgerlens.llm.common import ragged
 
 
 def fold(id_col: str, k: int) -> Column:
-    """crc32 of the id as text, mod k."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % k
+    """crc32 of the id as text, mod k; -1 (no fold) for a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % k, F.lit(-1))
 
 
 @dataclass

@@ -298,9 +298,8 @@ def decode(ids: list[int] | np.ndarray, path: str, theta: float = THETA) -> str:
 
 
 def with_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, theta: float = THETA, out: str = "pieces") -> DataFrame:
-    """docs with the sampled piece ids of each text in a column of their own."""
-    if out in docs.columns:
-        raise ValueError(f"there is a column {out} already")
+    """docs with the sampled piece ids of each text in a column of their own, which replaces one of that name."""
+    docs = docs.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary(path, theta))
