@@ -118,14 +118,18 @@ def mined_match(tokens: Column, rules: list[tuple[list[str], float, float]]) ->
     for rule, _, _ in rules:
         for t in rule:
             how_many[t] = how_many.get(t, 0) + 1
+
+    def ruled_by(table: Column) -> Column:
+        found = F.flatten(F.filter(F.transform(tokens, lambda t: F.try_element_at(table, t)), lambda x: x.isNotNull()))
+        return F.exists(found, lambda r: F.size(F.array_except(r, tokens)) == 0)
+
     blocks = []
     for at in range(0, len(rules), INDEX_BLOCK):
         index: dict[str, list[list[str]]] = {}
         for rule, _, _ in rules[at : at + INDEX_BLOCK]:
             index.setdefault(min(rule, key=lambda t: (how_many[t], t)), []).append(rule)
         table = F.create_map(*[x for t, found in index.items() for x in (F.lit(t), F.array(*[F.array(*map(F.lit, r)) for r in found]))])
-        ruled = F.flatten(F.filter(F.transform(tokens, lambda t, table=table: F.try_element_at(table, t)), lambda x: x.isNotNull()))
-        blocks.append(F.exists(ruled, lambda r: F.size(F.array_except(r, tokens)) == 0))
+        blocks.append(ruled_by(table))
     return reduce(lambda a, b: a | b, blocks) if blocks else F.lit(False)
 
 
