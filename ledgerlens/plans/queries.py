@@ -24,7 +24,7 @@ D AS (SELECT idx, CASE WHEN idx <= cut THEN term ELSE cut_term END AS term, key,
 X AS (SELECT D.idx, term, key, CASE WHEN idx = spot THEN value || '!' ELSE value END AS value, no_op FROM D, C)"""
 W = f"WITH {L}, {M}, {D} "
 COMMIT = "(SELECT coalesce(max(idx), 0) FROM L WHERE term = (SELECT max(term) FROM L) AND 1 + (SELECT count(*) FROM M WHERE match_index >= L.idx) >= 3)"
-MICROS = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 
 
 def query(sql: str | None = None):
@@ -158,7 +158,7 @@ def election_tally(spark, sf):
 @query("""WITH c AS (SELECT user_id, max(epoch_us(ts)) AS t FROM events GROUP BY 1), k AS (SELECT min(t) AS contact, count(*) AS n FROM (SELECT t FROM c ORDER BY t DESC LIMIT 2))
     SELECT contact, contact + 122727 AS lease_until, 1706600000000000 < contact + 122727 AS allowed, CASE WHEN 1706600000000000 < contact + 122727 THEN 'ok' ELSE 'expired' END AS reason FROM k""")
 def lease_contact(spark, sf):
-    contacts = A.read(spark, sf, "events").select(F.col("user_id").alias("peer"), MICROS.alias("sent_at"))
+    contacts = A.read(spark, sf, "events").select(F.col("user_id").alias("peer"), F.expr(MICROS).alias("sent_at"))
     return commit.lease(contacts, A.N_NODES, 1706600000000000)
 
 
@@ -423,7 +423,7 @@ def role_transitions(spark, sf):
 
 @query("""SELECT user_id, count(*) FILTER (WHERE g > 86400000000) AS n_timeouts, coalesce(max(g), 0) AS longest FROM (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM events) GROUP BY 1""")
 def inactivity_gaps(spark, sf):
-    at = A.read(spark, sf, "events").select("user_id", "event_id", MICROS.alias("at"))
+    at = A.read(spark, sf, "events").select("user_id", "event_id", F.expr(MICROS).alias("at"))
     gap = F.col("at") - F.lag("at").over(Window.partitionBy("user_id").orderBy("event_id"))
     return at.select("user_id", gap.alias("g")).groupBy("user_id").agg(F.count_if(F.col("g") > 86_400_000_000).alias("n_timeouts"), F.coalesce(F.max("g"), F.lit(0)).alias("longest"))
 
