@@ -201,63 +201,73 @@ class Network:
 
 
 class Scorer:
-    """Forward alone, with products of weights folded, and sums over short axes as matrix products.
+    """Forward alone, from tables.
 
-    Logits are cut at CEILING instead of being shifted by their maximum, which
-    changes nothing for the sizes that training gives.
+    What a place puts into attention depends on its slot and its place in the window only, so the
+    queries, keys, values and the part of the hidden state that skips attention are looked up,
+    with products of weights folded. A last hidden unit that is always 1 carries the biases.
+    Logits that could pass CEILING, by a bound over all inputs, are cut there instead of being shifted
+    by their maximum, which changes nothing for the sizes that training gives.
     """
 
     CEILING = np.float32(60)
 
     def __init__(self, net: Network):
-        self.net = net
-        self.match = (net.wq @ net.wk.T * SCALE).astype(np.float32)
-        self.w1 = np.concatenate([net.w1[:WIDTH], net.wv @ net.w1[WIDTH:]]).astype(np.float32)
-        self.sums = np.stack([np.ones(CLASSES), np.arange(CLASSES) < CLASSES // 2], axis=1).astype(np.float32)
-        self.ones, self.full = np.ones(MEMBERS, np.float32), np.ones(WINDOW, np.float32)
+        put = lambda x: np.ascontiguousarray(x, np.float32)
+        own = (net.emb[None] + net.pos[:, None]).reshape(-1, WIDTH)
+        unit = np.ones((len(own), 1))
+        self.key, self.query = put(own), put(own @ (net.wq @ net.wk.T * SCALE))
+        self.value = put(np.hstack([own @ (net.wv @ net.w1[WIDTH:]), 0 * unit]))
+        self.skip = put(np.hstack([own @ net.w1[:WIDTH] + net.b1, unit]))
+        self.wc = put(np.vstack([net.wc, net.bc]))
+        self.wm = put(np.concatenate([net.wm, net.bm[:, None]], axis=1))
+        most = np.maximum(self.value.max(axis=0) + self.skip.max(axis=0), 0)  # attention gives means of values
+        self.cut_match = np.linalg.norm(self.query, axis=1).max() * np.linalg.norm(self.key, axis=1).max() > self.CEILING
+        self.cut_class, self.cut_member = ((most @ np.maximum(w, 0)).max() > self.CEILING for w in (self.wc, self.wm))
+        self.offset = np.arange(WINDOW) * SLOTS
+        self.ones, self.full, self.half = np.ones(MEMBERS, np.float32), np.ones(WINDOW, np.float32), np.ones(CLASSES // 2, np.float32)
+        self.every = np.ones(CLASSES, np.float32)
         self.causal = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
     def hidden(self, x_in: np.ndarray) -> np.ndarray:
-        own = self.net.emb.take(x_in, axis=0)
-        own += self.net.pos
-        flat = own.reshape(-1, WIDTH)
-        a = np.matmul((flat @ self.match).reshape(own.shape), np.ascontiguousarray(own.transpose(0, 2, 1)))
-        np.minimum(a, self.CEILING, out=a)
+        x = x_in + self.offset
+        a = np.matmul(self.query.take(x, axis=0), np.ascontiguousarray(self.key.take(x, axis=0).transpose(0, 2, 1)))
+        if self.cut_match:
+            np.minimum(a, self.CEILING, out=a)
         np.exp(a, out=a)
         a *= self.causal
-        h = np.matmul(a, own).reshape(-1, WIDTH)
-        h /= a.reshape(-1, WINDOW) @ self.full[:, None]
-        h = h @ self.w1[WIDTH:]
-        h += flat @ self.w1[:WIDTH]
-        h += self.net.b1
+        h = np.matmul(a, self.value.take(x, axis=0)).reshape(-1, HIDDEN + 1)
+        h /= (a.reshape(-1, WINDOW) @ self.full)[:, None]
+        h += self.skip.take(x.reshape(-1), axis=0)
         return np.maximum(h, 0, out=h)
 
     def log_probs(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability of the target slots, and that a word begins (or the text ends)."""
+        """Log probability of the target slots; and, where the target begins a word or ends the text, that one does."""
         kind, member = target // MEMBERS, target % MEMBERS
         order = np.argsort(kind.astype(np.uint8), kind="stable")
         h, kind, member = h.take(order, axis=0), kind.take(order), member.take(order)
-        c = h @ self.net.wc
-        c += self.net.bc
-        np.minimum(c, self.CEILING, out=c)
+        c = h @ self.wc
+        if self.cut_class:
+            np.minimum(c, self.CEILING, out=c)
         place = np.arange(0, c.size, CLASSES)
         log = c.ravel().take(place + kind)
         np.exp(c, out=c)
-        total, begins = (c @ self.sums).T
         ends = np.append(0, np.cumsum(np.bincount(kind, minlength=CLASSES)))
+        log_total = np.log(c @ self.every)
+        n = ends[CLASSES // 2]
+        starts = np.zeros(len(c), np.float32)
+        starts[order[:n]] = np.log(np.maximum(c[:n, : CLASSES // 2] @ self.half, 1e-30)) - log_total[:n]
         inner = np.empty(len(c), np.float32)
         for k in np.flatnonzero(np.diff(ends)).tolist():
             at, to = ends[k], ends[k + 1]
-            m = h[at:to] @ self.net.wm[k]
-            m += self.net.bm[k]
-            np.minimum(m, self.CEILING, out=m)
+            m = h[at:to] @ self.wm[k]
+            if self.cut_member:
+                np.minimum(m, self.CEILING, out=m)
             log[at:to] += m.ravel().take(place[: to - at] + member[at:to])
             np.exp(m, out=m)
             inner[at:to] = m @ self.ones
-        out, starts = np.empty(len(c), np.float32), np.empty(len(c), np.float32)
-        log_total = np.log(total)
+        out = np.empty(len(c), np.float32)
         out[order] = log - log_total - np.log(inner)
-        starts[order] = np.log(np.maximum(begins, 1e-30)) - log_total
         return out, starts
 
 
@@ -344,8 +354,8 @@ class Reader:
         return distinct, number, n_words, share, word_at, sequence, lengths
 
 
-def network_logs(net: Network, sequence: np.ndarray, lengths: np.ndarray, most: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of each slot given those before it in its text, and that a word begins there."""
+def network_logs(net: Network, sequence: np.ndarray, lengths: np.ndarray, most: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each slot given those before it in its text; where it begins a word or is the end, also that one begins."""
     inputs = np.empty_like(sequence)
     inputs[1:] = sequence[:-1]
     inputs[ragged(lengths)[0]] = END
