@@ -8,10 +8,11 @@ that rows carry drops pairs beyond MOST_BITS differing bits (over three deviatio
 Jaccard similarity of the whole texts decides.
 
 Equal texts are one item from the start. A band of up to ALL_PAIRS items gives all
-its pairs. A larger one gives each item with the band's first and with its next two: a
-large group of near copies hangs together by those. Groups are then collapsed to one item and
-the rest goes round again, until no band is larger than ALL_PAIRS or a round links nothing; so
-the rest of a large band's pairs is handled by the rounds, not dropped.
+its pairs. A larger one first gives each item with the band's first and with its next two: a
+large group of near copies mostly hangs together by those. Then every pair of a large band whose items no chain of
+links joins yet is compared too, in tiles. Pairs that links join already can't change the groups, so the
+groups are those of all pairs of every band, and no pair is dropped for a band's size. Where a large band's items are
+not near copies, that is about half the square of its items to compare.
 
 Defined results: null and empty texts are equal texts; a text of fewer than 5 words is one shingle;
 of equal rows one stays; the row with the least id (null first), then text digest, of each group stays; an empty table
@@ -34,7 +35,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 5
 MOST_BITS = 33
 ALL_PAIRS = 24
-MOST_ROUNDS = 8
+#: Items on a side of a tile of a large band.
+TILE = 1024
 
 _RNG = np.random.default_rng(5)
 MULTIPLIERS = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,12 +75,13 @@ def sketches(items: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """(a, b, full): pairs of items to compare, and whether all pairs of their band are there."""
+    """(a, b, band, key, sim): pairs of items to compare, and with null b the members of bands of which not all pairs are there."""
     bands = rows.select("item", "sim", F.posexplode("keys").alias("band", "key")).repartition("band", "key").sortWithinPartitions("band", "key", "item")
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("band", pa.int32()), ("key", pa.int64()), ("sim", pa.binary())])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # items of the open band
-        a, b, full = [], [], []
+        out: list[tuple] = []
 
         def close() -> None:
             n = len(held)
@@ -91,11 +94,15 @@ def candidates(rows: DataFrame) -> DataFrame:
                 others = np.arange(1, n)
                 i = np.concatenate([np.zeros(n - 1, np.int64), others[:-1], others[:-2]])
                 j = np.concatenate([others, others[:-1] + 1, others[:-2] + 2])
+                out.extend((item, None, *now, sim) for item, sim in held)
             near = np.bitwise_count(sims[i] ^ sims[j]).sum(axis=1) <= MOST_BITS
-            for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
-                a.append(held[x][0])
-                b.append(held[y][0])
-                full.append(n <= ALL_PAIRS)
+            out.extend((held[x][0], held[y][0], None, None, None) for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True))
+
+        def written() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [()] * len(schema)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+            out.clear()
+            return batch
 
         now = None
         for batch in batches:
@@ -104,13 +111,62 @@ def candidates(rows: DataFrame) -> DataFrame:
                     close()
                     held, now = [], (band, key)
                 held.append((item, sim))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(full)], names=["a", "b", "full"])
-                a, b, full = [], [], []
+            if out:
+                yield written()
         close()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(full, pa.bool_())], names=["a", "b", "full"])
+        yield written()
+
+    return bands.mapInArrow(pairs, "a binary, b binary, band int, key long, sim binary")
+
+
+def untested(members: DataFrame, root: DataFrame) -> DataFrame:
+    """(a, b): the pairs of large bands that no chain of links joins yet.
+
+    Items outside a band's largest group meet all items of the band, in tiles of about TILE by TILE.
+    """
+    grouped = members.join(root, members.a == root.node, "left").select("band", "key", "a", "sim", F.coalesce("root", "a").alias("root"))
+    sizes = grouped.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
+    open_bands = sizes.groupBy("band", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main")).where("n > main.n")
+    tiles_of = open_bands.select("band", "key", F.col("main.root").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / TILE).alias("down"), F.ceil(F.col("n") / TILE).alias("across"))
+    rows = grouped.join(tiles_of, ["band", "key"]).withColumns({"outside": F.col("root") != F.col("main"), "at": F.xxhash64("a")})
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod("at", F.col(n))
+    rest = ["a", "sim", "root", "outside"]
+    first = rows.where("outside").select("band", "key", own("down").alias("row"), every("across").alias("column"), *rest, F.lit(True).alias("first"))
+    second = rows.select("band", "key", every("down").alias("row"), own("across").alias("column"), *rest, F.lit(False).alias("first"))
+    tile = ["band", "key", "row", "column"]
+    dealt = first.unionByName(second).repartition(*tile).sortWithinPartitions(*tile)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # items of the open tile
+
+        def close() -> Iterator[pa.RecordBatch]:
+            left, right = ([x for x in held if x[4] == side] for side in (True, False))
+            if not left or not right:
+                return
+            of = {r: i for i, r in enumerate({x[2] for x in held})}
+            order = {item: i for i, item in enumerate(sorted({x[0] for x in held}))}
+            (sims, roots, places), (sims_r, roots_r, places_r) = ((np.frombuffer(b"".join(x[1] for x in side), np.uint64).reshape(-1, 2), np.array([of[x[2]] for x in side]), np.array([order[x[0]] for x in side])) for side in (left, right))
+            outside = np.array([x[3] for x in right])
+            for at in range(0, len(left), 64):
+                part = slice(at, at + 64)
+                # Two items outside the largest group meet twice; the pair is taken once.
+                apart = (roots[part, None] != roots_r) & (~outside | (places[part, None] < places_r))
+                i, j = np.nonzero(apart & (np.bitwise_count(sims[part, None] ^ sims_r).sum(axis=2) <= MOST_BITS))
+                if len(i):
+                    pairs = [sorted((left[at + x][0], right[y][0])) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*pairs, strict=True)], names=["a", "b"])
+
+        now = None
+        for batch in batches:
+            for *to, item, sim, group, outside, first in zip(*(batch.column(c).to_pylist() for c in (*tile, *rest, "first")), strict=True):
+                if to != now:
+                    yield from close()
+                    held, now = [], to
+                held.append((item, sim, group, outside, first))
+        yield from close()
 
-    return bands.mapInArrow(pairs, "a binary, b binary, full boolean").groupBy("a", "b").agg(F.max("full").alias("full"))
+    return dealt.mapInArrow(compared, "a binary, b binary").distinct()
 
 
 def verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
@@ -122,9 +178,9 @@ def verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text_a"):
             kept = [jaccard(x, y) >= SIMILARITY for x, y in zip(texts_of(batch, "text_a"), texts_of(batch, "text_b"), strict=True)]
-            yield batch.filter(pa.array(kept)).select(["a", "b", "full"])
+            yield batch.filter(pa.array(kept)).select(["a", "b"])
 
-    return both.select("a", "b", "full", "text_a", "text_b").mapInArrow(check, "a binary, b binary, full boolean")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a binary, b binary")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,24 +191,15 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     least = cut(rows.groupBy("item").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0)).alias("id"))).alias("first")))
     texts = docs.select(digest.alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sketched = cut(sketches(texts).dropDuplicates(["item"]))
-    links, gone = None, None
-    for _ in range(MOST_ROUNDS):
-        left = sketched if gone is None else sketched.join(gone, "item", "left_anti")
-        found = candidates(left)
-        new = cut(verified(found, texts))
-        n, partial = new.agg(F.count("*"), F.coalesce(F.sum((~F.col("full")).cast("long")), F.lit(0))).first()
-        if n:
-            links = new.select("a", "b") if links is None else links.union(new.select("a", "b"))
-            root = cut(components(links))
-            gone = root.where("node <> root").select(F.col("node").alias("item"))
-        if not n or not partial:
-            break
-    if links is None:
-        kept = least.select("item", "first")
-    else:
-        group = least.join(root, least.item == root.node, "left").select("item", "first", F.coalesce("root", "item").alias("root"))
-        best = group.groupBy("root").agg(F.min(F.struct("first", "item")).alias("best"))
-        kept = best.select("best.item", "best.first")
+    found = cut(candidates(sketched))
+    links = cut(verified(found.where("b IS NOT NULL").select("a", "b").distinct(), texts))
+    root = cut(components(links))
+    more = cut(verified(cut(untested(found.where("b IS NULL").drop("b"), root)), texts))
+    if not more.isEmpty():
+        root = cut(components(links.union(more)))
+    group = least.join(root, least.item == root.node, "left").select("item", "first", F.coalesce("root", "item").alias("root"))
+    best = group.groupBy("root").agg(F.min(F.struct("first", "item")).alias("best"))
+    kept = best.select("best.item", "best.first")
     kept = kept.select(F.col("item").alias("__item"), F.col("first.known").alias("__known"), F.col("first.id").alias("__id"))
     marked = docs.withColumns({"__digest": digest, "__has": F.col(id_col).isNotNull(), "__key": F.coalesce(F.col(id_col).cast("long"), F.lit(0))})
     out = marked.join(kept, (F.col("__digest") == F.col("__item")) & (F.col("__has") == F.col("__known")) & (F.col("__key") == F.col("__id")), "left_semi")

@@ -166,6 +166,36 @@ def test_large_band_goes_round(spark, monkeypatch):
     assert sorted(r.doc_id for r in near_dedup.drop_near_copies(docs).collect()) == [0, 100, 101, 102, 103, 104]
 
 
+def exact_groups(texts):
+    """The least place of each group of texts at a similarity of 0.8, by brute force."""
+    sets = [set(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    parent = list(range(len(sets)))
+    for j, y in enumerate(sets):
+        for i, x in enumerate(sets[:j]):
+            if parent[i] != parent[j] and len(x & y) / len(x | y) >= 0.8:
+                old, new = max(parent[i], parent[j]), min(parent[i], parent[j])
+                parent = [new if p == old else p for p in parent]
+    return set(parent)
+
+
+def texts_table(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_hub_with_many_copies(spark, monkeypatch):
+    """Copies that are similar to one text but not to each other all go with it, however large its bands are."""
+    monkeypatch.setattr(near_dedup, "TILE", 30)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base)]
+    for n in range(150):
+        changed = set(rng.sample(range(300), 6))
+        texts.append(" ".join(f"x{n}_{i}" if i in changed else w for i, w in enumerate(base)))
+    groups = exact_groups(texts)
+    assert 0 in groups and len(groups) < 20
+    assert {r.doc_id for r in near_dedup.drop_near_copies(texts_table(spark, texts)).collect()} == groups
+
+
 def test_pieces_lossless_and_reproducible(spark):
     path = sentencepiece_lattice.default_model()
     docs = spark.read.parquet(f"{SF}/documents.parquet")
