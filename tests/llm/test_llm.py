@@ -184,7 +184,7 @@ def texts_table(spark, texts):
 
 def test_hub_with_many_copies(spark, monkeypatch):
     """Copies that are similar to one text but not to each other all go with it, however large its bands are."""
-    monkeypatch.setattr(near_dedup, "TILE", 30)
+    monkeypatch.setattr(near_dedup, "TILE", 30, raising=False)
     rng = random.Random(7)
     base = [f"w{i}" for i in range(300)]
     texts = [" ".join(base)]
@@ -196,6 +196,16 @@ def test_hub_with_many_copies(spark, monkeypatch):
     assert {r.doc_id for r in near_dedup.drop_near_copies(texts_table(spark, texts)).collect()} == groups
 
 
+def test_copies_within_a_template(spark):
+    """Many texts share a long passage without being near copies; the true pairs among them are found all the same."""
+    shared = [f"t{i}" for i in range(300)]
+    texts = [" ".join(shared + [f"{n}_{i}" for i in range(40)]) for n in range(200)]
+    texts += [" ".join(shared + [f"{n}_{i}" for i in range(10)] + [f"new{n}_{i}" for i in range(28)]) for n in range(20)]
+    groups = exact_groups(texts)
+    assert groups == set(range(200))
+    assert {r.doc_id for r in near_dedup.drop_near_copies(texts_table(spark, texts)).collect()} == groups
+
+
 def test_pieces_lossless_and_reproducible(spark):
     path = sentencepiece_lattice.default_model()
     docs = spark.read.parquet(f"{SF}/documents.parquet")
