@@ -4,8 +4,8 @@ SimHash at 3 bits, as `simhash.near_copies` links, finds only texts that are all
 texts at similarity 0.8 differ in about 15 % of the bits of their fingerprints, and no choice of a few whole blocks of bits then
 agrees often enough to be a key. So here the pigeonhole is over the shingles: 16 bands of 5 minima of hashed shingles
 (a pair at 0.8 shares a band with probability 0.998), joined on the band; a 128-bit SimHash
-that rows carry drops pairs beyond MOST_BITS differing bits (over three deviations from what 0.8 gives); the true
-Jaccard similarity of the whole texts decides.
+that rows carry drops pairs beyond MOST_BITS differing bits (over three deviations from what 0.8 gives) where both have
+FEW_SHINGLES shingles or more; the true Jaccard similarity of the whole texts decides.
 
 Equal texts are one item from the start. A band of up to ALL_PAIRS items gives all
 its pairs. A larger one first gives each item with the band's first and with its next two: a
@@ -34,6 +34,8 @@ from ledgerlens.llm.simhash import components, shingle_hashes
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 5
 MOST_BITS = 33
+#: Texts of fewer shingles are not judged by bits: a pair of 4 and 5 at 0.8 is beyond MOST_BITS with probability 0.019, and one of 30 or more with at most 0.001.
+FEW_SHINGLES = 30
 ALL_PAIRS = 24
 #: Items on a side of a tile of a large band.
 TILE = 1024
@@ -44,7 +46,7 @@ MIXERS = _RNG.integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint
 
 
 def sketch(text: bytes) -> tuple[np.ndarray, bytes]:
-    """The band keys and the 128-bit SimHash of a text."""
+    """The band keys of a text, and its 128-bit SimHash followed by its number of shingles."""
     h = np.unique(np.array(shingle_hashes(text, SHINGLE) or [0], np.uint64))
     least = np.full(len(MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
     ones = np.zeros(128, np.int64)
@@ -54,7 +56,16 @@ def sketch(text: bytes) -> tuple[np.ndarray, bytes]:
         wide = np.stack([part, (part ^ (part >> np.uint64(31))) * MULTIPLIERS[0]], axis=1)
         ones += np.unpackbits(wide.view(np.uint8).reshape(len(part), 16), axis=1).sum(axis=0, dtype=np.int64)
     keys = ((least >> np.uint64(8)).reshape(BANDS, ROWS) * MIXERS).sum(axis=1, dtype=np.uint64)
-    return (keys ^ (keys >> np.uint64(29))).view(np.int64), np.packbits(2 * ones > len(h)).tobytes()
+    return (keys ^ (keys >> np.uint64(29))).view(np.int64), np.packbits(2 * ones > len(h)).tobytes() + np.uint64(len(h)).tobytes()
+
+
+def sims_of(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.uint64).reshape(-1, 3)
+
+
+def may_be_near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the bits let pairs of texts be similar, or one has too few shingles to tell."""
+    return (np.bitwise_count(x[..., :2] ^ y[..., :2]).sum(axis=-1) <= MOST_BITS) | (np.minimum(x[..., 2], y[..., 2]) < FEW_SHINGLES)
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -87,7 +98,7 @@ def candidates(rows: DataFrame) -> DataFrame:
             n = len(held)
             if n < 2:
                 return
-            sims = np.frombuffer(b"".join(x[1] for x in held), np.uint64).reshape(n, 2)
+            sims = sims_of([x[1] for x in held])
             if n <= ALL_PAIRS:
                 i, j = np.triu_indices(n, 1)
             else:
@@ -95,7 +106,7 @@ def candidates(rows: DataFrame) -> DataFrame:
                 i = np.concatenate([np.zeros(n - 1, np.int64), others[:-1], others[:-2]])
                 j = np.concatenate([others, others[:-1] + 1, others[:-2] + 2])
                 out.extend((item, None, *now, sim) for item, sim in held)
-            near = np.bitwise_count(sims[i] ^ sims[j]).sum(axis=1) <= MOST_BITS
+            near = may_be_near(sims[i], sims[j])
             out.extend((held[x][0], held[y][0], None, None, None) for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True))
 
         def written() -> pa.RecordBatch:
@@ -146,13 +157,13 @@ def untested(members: DataFrame, root: DataFrame) -> DataFrame:
                 return
             of = {r: i for i, r in enumerate({x[2] for x in held})}
             order = {item: i for i, item in enumerate(sorted({x[0] for x in held}))}
-            (sims, roots, places), (sims_r, roots_r, places_r) = ((np.frombuffer(b"".join(x[1] for x in side), np.uint64).reshape(-1, 2), np.array([of[x[2]] for x in side]), np.array([order[x[0]] for x in side])) for side in (left, right))
+            (sims, roots, places), (sims_r, roots_r, places_r) = ((sims_of([x[1] for x in side]), np.array([of[x[2]] for x in side]), np.array([order[x[0]] for x in side])) for side in (left, right))
             outside = np.array([x[3] for x in right])
             for at in range(0, len(left), 64):
                 part = slice(at, at + 64)
                 # Two items outside the largest group meet twice; the pair is taken once.
                 apart = (roots[part, None] != roots_r) & (~outside | (places[part, None] < places_r))
-                i, j = np.nonzero(apart & (np.bitwise_count(sims[part, None] ^ sims_r).sum(axis=2) <= MOST_BITS))
+                i, j = np.nonzero(apart & may_be_near(sims[part, None], sims_r))
                 if len(i):
                     pairs = [sorted((left[at + x][0], right[y][0])) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*pairs, strict=True)], names=["a", "b"])

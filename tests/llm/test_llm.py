@@ -206,6 +206,18 @@ def test_copies_within_a_template(spark):
     assert {r.doc_id for r in near_dedup.drop_near_copies(texts_table(spark, texts)).collect()} == groups
 
 
+def test_short_copies_beyond_the_bits(spark):
+    """Texts of 8 and 9 words are at 0.8 exactly; those that share a band are found even if their SimHashes differ widely."""
+    texts = []
+    for n in range(3000):
+        one = " ".join(f"{n}_{i}" for i in range(8))
+        (a, x), (b, y) = (near_dedup.sketch(t.encode()) for t in (one, one + " more"))
+        if (a == b).any() and (int.from_bytes(x[:16]) ^ int.from_bytes(y[:16])).bit_count() > near_dedup.MOST_BITS:
+            texts += [one, one + " more"]
+    assert len(texts) >= 20
+    assert {r.doc_id for r in near_dedup.drop_near_copies(texts_table(spark, texts)).collect()} == set(range(0, len(texts), 2))
+
+
 def test_pieces_lossless_and_reproducible(spark):
     path = sentencepiece_lattice.default_model()
     docs = spark.read.parquet(f"{SF}/documents.parquet")
