@@ -15,10 +15,9 @@ share of the word in all training tokens; and a copy head that attends evenly to
 words of the text. All three sum to at most one, and so does a mixture. A text's
 probability is the mean over a few fixed mixtures, so that each text leans to the one that suits it.
 
-Training covers the corpus in two ways: the word counts are of all training texts;
-the network is fitted by rounds of local SGD, in which each partition trains on its part of
-FIT_ROOT * sqrt(n) training texts, chosen by hash, and the weights are averaged in two levels, so
-that what is learnt from grows with the input, and no task or driver sees more than a small part of it.
+Training covers the corpus: the word counts, and the subword counts from them, are of all training texts;
+the network is fitted by rounds of local SGD, in which each partition trains on all of its training
+texts, and the weights are averaged in two levels, so that no task or driver sees more than its part.
 
 Scoring deals the texts to slices of bounded bytes by a hash of id and text. Each slice
 asks for the counts of its distinct words once, however often they occur.
@@ -55,8 +54,8 @@ CLASSES, MEMBERS = 32, 32
 SLOTS = CLASSES * MEMBERS
 #: Slots of the first half begin a word; the first two are the end of the text, and the rarer word beginnings.
 END, RARE_FIRST, RARE_NEXT = 0, 1, SLOTS // 2
-#: Each of ROUNDS of local SGD uses FIT_ROOT * sqrt(n) of n training texts (all of a small corpus), so what is learnt from grows with the input.
-FIT_ROOT, ROUNDS, BATCH, LEAST_STEPS, MOST_EPOCHS = 16, 2, 128, 300, 6
+#: Each of ROUNDS of local SGD uses all training texts.
+ROUNDS, BATCH, LEAST_STEPS, MOST_EPOCHS = 2, 128, 300, 6
 #: Weights of the count, network and copy parts that a text may have; all are as likely beforehand.
 MIXTURES = ((0.15, 0.68, 0.17), (0.45, 0.40, 0.15), (0.80, 0.08, 0.12), (0.93, 0.06, 0.01), (0.03, 0.95, 0.02), (0.10, 0.40, 0.50), (0.03, 0.07, 0.90), (0.30, 0.05, 0.65))
 SLICE_BYTES = 8 << 20
@@ -429,21 +428,20 @@ def score_texts(reader: Reader, net: Network, texts: pa.Array, count_of: dict[st
     )
 
 
-def subword_counts(training: DataFrame, path: str) -> dict[int, int]:
-    """Of the fit share; at most as many rows as the vocabulary has ids come to the driver. The ends are under -1."""
+def subword_counts(counts: DataFrame, n_ends: int, path: str) -> dict[int, int]:
+    """Of all training texts, from their word counts; at most as many rows as the vocabulary has ids come to the driver. The ends are under -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, found = Reader(path, None), np.zeros(subwords(path).get_piece_size() + 1, np.int64)  # the last for the ends
-        for batch in by_bytes(batches):
-            coded = words_in(batch.column("text"))[0].dictionary_encode()
-            row = reader.rows_of(coded.dictionary.to_pylist())
-            counts = np.repeat(np.bincount(np.asarray(coded.indices), minlength=len(row)), reader.number[row])
-            found[:-1] += np.bincount(reader.kept[ranges(reader.begin[row], reader.number[row])], weights=counts, minlength=len(found) - 1).astype(np.int64)
-            found[-1] += batch.num_rows
+        found = np.zeros(subwords(path).get_piece_size(), np.int64)
+        for batch in by_bytes(batches, "word"):
+            reader = Reader(path, None)  # no word comes twice
+            row = reader.rows_of(batch.column("word").to_pylist())
+            times = np.repeat(np.asarray(batch.column("c")), reader.number[row])
+            np.add.at(found, reader.kept[ranges(reader.begin[row], reader.number[row])], times)
         some = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(np.where(some == len(found) - 1, -1, some), pa.int32()), pa.array(found[some])], names=["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(found[some])], names=["id", "n"])
 
-    return {r["id"]: r["n"] for r in training.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    return {r["id"]: r["n"] for r in counts.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()} | {-1: n_ends}
 
 
 def averaged(parts: DataFrame) -> np.ndarray | None:
@@ -463,11 +461,9 @@ def averaged(parts: DataFrame) -> np.ndarray | None:
     return (w / total).astype(np.float32) if total else None
 
 
-def train(training: DataFrame, path: str, n_texts: int) -> tuple[Slots, np.ndarray]:
-    """Slots and network weights. Rounds take other texts, where there are more than one round needs."""
-    one_in = max(1, int(math.sqrt(n_texts) / FIT_ROOT))
-    share = lambda r: training.where(F.pmod(F.xxhash64("id", "text"), F.lit(one_in)) == r % one_in)
-    slots = make_slots(path, subword_counts(share(0), path))
+def train(training: DataFrame, counts: DataFrame, path: str, n_texts: int) -> tuple[Slots, np.ndarray]:
+    """Slots and network weights, from all training texts and their word counts."""
+    slots = make_slots(path, subword_counts(counts, n_texts, path))
     flat = Network.start(slots.log_counts).flat
     for r in range(ROUNDS):
         shared = training.sparkSession.sparkContext.broadcast((slots, flat))
@@ -499,7 +495,7 @@ def train(training: DataFrame, path: str, n_texts: int) -> tuple[Slots, np.ndarr
             if seen:
                 yield pa.RecordBatch.from_pydict({"pid": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([seen], pa.int64()), "w": pa.array([net.flat.tobytes()], pa.binary())})
 
-        new = averaged(share(r).mapInArrow(fit, "pid long, n long, w binary"))
+        new = averaged(training.mapInArrow(fit, "pid long, n long, w binary"))
         flat = flat if new is None else new
     return slots, flat
 
@@ -543,7 +539,7 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     n_distinct, n_words = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     size, n_ends = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 64), F.lit(0)), F.coalesce(F.sum((~held).cast("long")), F.lit(0))).first()
     n_tokens, n_distinct = n_words + n_ends, n_distinct + (n_ends > 0)
-    slots, flat = train(training, path, n_ends)
+    slots, flat = train(training, counts, path, n_ends)
     shared = docs.sparkSession.sparkContext.broadcast((slots, flat))
     n_slices = max(1, -(-size // SLICE_BYTES))
     sliced = docs.withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(n_slices))).repartition("slice")

@@ -294,6 +294,29 @@ def test_lm_base(spark):
         assert r.train_tokens == n and r.n_known == sum(counts[w] > 0 for w in words[r.doc_id]) and r.score < 0
 
 
+def test_lm_trains_on_all_texts(spark, monkeypatch):
+    """Both rounds, and the subword counts, see every training text of a table of some thousands."""
+    import zlib
+
+    path = sentencepiece_lattice.default_model()
+    texts = {i: f"alpha w{i} beta{i % 50}" for i in range(3000)}
+    training = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % attention_lm.FOLDS != attention_lm.HELD_OUT]
+    ids = [x for t in training for w in t.split() for x in attention_lm.subwords(path).encode(w)]
+    seen, given = [], []
+    averaged, make_slots = attention_lm.averaged, attention_lm.make_slots
+
+    def spied(parts):
+        seen.append(parts.agg(F.sum("n")).first()[0])
+        return averaged(parts)
+
+    monkeypatch.setattr(attention_lm, "averaged", spied)
+    monkeypatch.setattr(attention_lm, "make_slots", lambda p, counts: given.append(counts) or make_slots(p, counts))
+    monkeypatch.setattr(attention_lm, "LEAST_STEPS", 1)
+    attention_lm.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), path)
+    assert seen == [len(ids) + len(training)] * attention_lm.ROUNDS
+    assert given[0].pop(-1) == len(training) and given[0] == {x: ids.count(x) for x in set(ids)}
+
+
 def test_nnpu_finds_positives():
     rng = np.random.default_rng(1)
 
