@@ -55,7 +55,7 @@ SLOTS = CLASSES * MEMBERS
 #: Slots of the first half begin a word; the first two are the end of the text, and the rarer word beginnings.
 END, RARE_FIRST, RARE_NEXT = 0, 1, SLOTS // 2
 #: Each of ROUNDS of local SGD uses all training texts.
-ROUNDS, BATCH, LEAST_STEPS, MOST_EPOCHS = 2, 128, 300, 6
+ROUNDS, BATCH, LEAST_STEPS, MOST_EPOCHS = 2, 64, 300, 6
 #: Weights of the count, network and copy parts that a text may have; all are as likely beforehand.
 MIXTURES = ((0.15, 0.68, 0.17), (0.45, 0.40, 0.15), (0.80, 0.08, 0.12), (0.93, 0.06, 0.01), (0.03, 0.95, 0.02), (0.10, 0.40, 0.50), (0.03, 0.07, 0.90), (0.30, 0.05, 0.65))
 SLICE_BYTES = 8 << 20

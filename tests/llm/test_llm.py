@@ -317,6 +317,10 @@ def test_lm_trains_on_all_texts(spark, monkeypatch):
     assert given[0].pop(-1) == len(training) and given[0] == {x: ids.count(x) for x in set(ids)}
 
 
+def test_lm_steps_are_small():
+    assert attention_lm.BATCH <= 64
+
+
 def test_nnpu_finds_positives():
     rng = np.random.default_rng(1)
 
