@@ -31,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from ledgerlens.llm.common import by_bytes, keyed_text, ragged, ranges, read, texts_of
+from ledgerlens.llm.common import by_bytes, cut, keyed_text, ragged, ranges, read, texts_of
 
 WINDOW = 10
 SHARD_BYTES = 6 << 20
@@ -295,60 +296,112 @@ def _merge_blocks(found: DataFrame, n_blocks: int) -> DataFrame:
     return merged.select("doc_id", "text_key", "n_words", spans.alias("spans"), "items", times.alias("copy")).drop("copy")
 
 
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the words of merged spans."""
+    places = [m.span() for m in WORD.finditer(text.translate(TO_WORDS))]
+    kept, at = [], 0
+    for b, e in spans:
+        kept.append(text[at : places[b][0]])
+        at = places[e - 1][1]
+    kept.append(text[at:])
+    return b" ".join(x for x in (k.strip(b" ") for k in kept) if x)
+
+
+def spans_in(texts: list[bytes], phrases: Phrases) -> dict[int, list[tuple[int, int]]]:
+    """The merged spans of the texts that have any."""
+    n_words, doc, start, phrase = occurrences(texts, phrases)
+    spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for d, b, e in zip(*(x.tolist() for x in merged_spans(doc, start, phrases.lengths[phrase], n_words)), strict=True):
+        spans[d].append((b, e))
+    return spans
+
+
 def cleaned(texts: list[bytes], phrases: Phrases) -> list[bytes]:
     """The texts without their spans. Where cutting joins words to a new phrase, that is cut too."""
     texts, todo = list(texts), list(range(len(texts)))
     while todo:
-        n_words, doc, start, phrase = occurrences([texts[i] for i in todo], phrases)
-        if not len(doc):
-            break
-        of, begin, end = merged_spans(doc, start, phrases.lengths[phrase], n_words)
-        again = []
-        for d in np.unique(of).tolist():
-            i = todo[d]
-            places = [m.span() for m in WORD.finditer(texts[i].translate(TO_WORDS))]
-            kept, at = [], 0
-            for b, e in zip(begin[of == d].tolist(), end[of == d].tolist(), strict=True):
-                kept.append(texts[i][at : places[b][0]])
-                at = places[e - 1][1]
-            kept.append(texts[i][at:])
-            texts[i] = b" ".join(x for x in (k.strip(b" ") for k in kept) if x)
-            again.append(i)
-        todo = again
+        found = spans_in([texts[i] for i in todo], phrases)
+        for d, spans in found.items():
+            texts[todo[d]] = without(texts[todo[d]], spans)
+        todo = [todo[d] for d in sorted(found)]
     return texts
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with the merged spans cut out of the text; rows, other columns and clean texts stay as they are.
 
+    With several blocks of benchmark, the spans of all are found in the same text and cut at once, and the
+    texts that changed go round again until no block hits, so the result doesn't depend on the blocks.
     `length_col`, if there is such a column, is set to the new length of a text that changed.
     """
     spark = docs.sparkSession
     schema = docs.schema
     places = {name: i for i, name in enumerate(schema.names)}
-    for shared in _broadcast_blocks(spark, benchmark):
+    blocks = list(_broadcast_blocks(spark, benchmark))
 
-        def cut(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def with_texts(batch: pa.RecordBatch, new: dict[int, bytes]) -> pa.RecordBatch:
+        arrays = list(batch.columns)
+        values = batch.column(text_col).to_pylist()
+        lengths = batch.column(length_col).to_pylist() if length_col in places else None
+        for i, text in new.items():
+            values[i] = text.decode("utf-8", "replace")
+            if lengths:
+                lengths[i] = len(values[i])
+        arrays[places[text_col]] = pa.array(values, batch.column(text_col).type)
+        if lengths:
+            arrays[places[length_col]] = pa.array(lengths, batch.column(length_col).type)
+        return pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+
+    if len(blocks) == 1:
+
+        def one_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in by_bytes(batches, text_col, SHARD_BYTES):
                 old = texts_of(batch, text_col)
-                new = cleaned(old, shared.value)
-                changed = [i for i, (a, b) in enumerate(zip(old, new, strict=True)) if a != b]
-                if changed:
-                    arrays = list(batch.columns)
-                    values = batch.column(text_col).to_pylist()
-                    lengths = batch.column(length_col).to_pylist() if length_col in places else None
-                    for i in changed:
-                        values[i] = new[i].decode("utf-8", "replace")
-                        if lengths:
-                            lengths[i] = len(values[i])
-                    arrays[places[text_col]] = pa.array(values, batch.column(text_col).type)
-                    if lengths:
-                        arrays[places[length_col]] = pa.array(lengths, batch.column(length_col).type)
-                    batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
-                yield batch
-
-        docs = docs.mapInArrow(cut, schema)
-    return docs
+                new = {i: y for i, (x, y) in enumerate(zip(old, cleaned(old, blocks[0].value), strict=True)) if x != y}
+                yield with_texts(batch, new) if new else batch
+
+        return docs.mapInArrow(one_block, schema)
+
+    marks = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    marked = StructType([*schema.fields, StructField("__spans", ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))])
+
+    def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cuts the spans; those of texts that changed stay as a mark."""
+        for batch in by_bytes(batches, text_col, SHARD_BYTES):
+            texts, new = texts_of(batch, text_col), {}
+            for i, found in enumerate(batch.column("__spans").to_pylist()):
+                spans: list[tuple[int, int]] = []
+                for b, e in sorted((x["start"], x["end"]) for x in found):
+                    if spans and spans[-1][1] >= b:
+                        spans[-1] = (spans[-1][0], max(spans[-1][1], e))
+                    else:
+                        spans.append((b, e))
+                if spans:
+                    new[i] = without(texts[i], spans)
+            yield with_texts(batch, new) if new else batch
+
+    done, todo = None, docs
+    while True:
+        todo = todo.withColumn("__spans", F.expr("cast(array() AS array<struct<start:int,end:int>>)"))
+        for shared in blocks:
+
+            def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                for batch in by_bytes(batches, text_col, SHARD_BYTES):
+                    found = spans_in(texts_of(batch, text_col), shared.value)
+                    if found:
+                        spans = batch.column("__spans").to_pylist()
+                        for i, more in found.items():
+                            spans[i] = spans[i] + [{"start": b, "end": e} for b, e in more]
+                        batch = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, marks)], names=batch.schema.names)
+                    yield batch
+
+            todo = todo.mapInArrow(search, marked)
+        todo = cut(todo.mapInArrow(cut_all, marked))
+        same = todo.where("size(__spans) = 0").drop("__spans")
+        done = same if done is None else done.unionByName(same)
+        todo = todo.where("size(__spans) > 0").drop("__spans")
+        if todo.isEmpty():
+            return done
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

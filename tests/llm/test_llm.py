@@ -64,6 +64,20 @@ def test_leaks_removed_in_blocks(spark, monkeypatch):
     assert changed == {r.doc_id for r in decontamination.find_leaks(docs, items).where("size(spans) > 0").collect()}
 
 
+def test_blocks_cut_as_one(spark, monkeypatch):
+    """Windows of items of different blocks that overlap, and a phrase that a later block's cut makes, go as with one block."""
+    words = [f"w{i}" for i in range(20)]
+    split, inner = [f"p{i}" for i in range(10)], [f"q{i}" for i in range(10)]
+    items = spark.createDataFrame([(0, " ".join(words[:12])), (1, " ".join(words[6:])), (2, " ".join(split)), (3, " ".join(inner))], "item_id long, text string").coalesce(1)
+    texts = ["a b " + " ".join(words) + " c", " ".join(["a", *split[:5], *inner, *split[5:], "b"]), "clean", None]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    results = []
+    for most in (decontamination.BLOCK_BYTES, 1):
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", most)
+        results.append(sorted((r.doc_id, r.text, r.n_chars) for r in decontamination.remove_leaks(docs, items).collect()))
+    assert results[0] == results[1] == [(0, "a b c", 5), (1, "a b", 3), (2, "clean", 5), (3, None, 0)]
+
+
 def test_fm_index_brute_force():
     rng = np.random.default_rng(0)
     text = np.append(rng.integers(2, 5, 400), 0)
