@@ -232,6 +232,25 @@ def test_short_copies_beyond_the_bits(spark):
     assert {r.doc_id for r in near_dedup.drop_near_copies(texts_table(spark, texts)).collect()} == set(range(0, len(texts), 2))
 
 
+def test_band_where_only_far_members_match(spark):
+    """A template band of 600 texts in which only members that are far apart in every order are copies."""
+    shared = [f"t{i}" for i in range(120)]
+    texts = [" ".join(shared + [f"{n}_{i}" for i in range(60)]) for n in range(600)]
+    for n in range(0, 40, 2):
+        words = texts[n].split()
+        texts[599 - n] = " ".join([*words[:-4], *(f"end{n}_{i}" for i in range(4))])
+    groups = exact_groups(texts[:40] + texts[-40:])
+    kept = {r.doc_id for r in near_dedup.drop_near_copies(texts_table(spark, texts)).collect()}
+    assert len(groups) == 60 and kept == set(range(600)) - {599 - n for n in range(0, 40, 2)}
+
+
+def test_near_copies_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x", "y"), (2, "a b c d e f", "x", "z"), (3, "", "u", "v"), (None, None, "w", "t"), (3, "", "u", "v")], "doc_id long, text string, item string, known string")
+    docs = docs.withColumnsRenamed({"item": "__digest"}).withColumn("row", docs.doc_id + 1)
+    got = sorted(map(tuple, near_dedup.drop_near_copies(docs).collect()), key=str)
+    assert got == [(1, "a b c d e f", "x", "y", 2), (None, None, "w", "t", None)]
+
+
 def test_pieces_lossless_and_reproducible(spark):
     path = sentencepiece_lattice.default_model()
     docs = spark.read.parquet(f"{SF}/documents.parquet")
