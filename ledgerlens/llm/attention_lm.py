@@ -5,7 +5,7 @@ becomes subword ids of a public vocabulary. The network embeds the ids, runs one
 masked attention over windows of WINDOW ids, and predicts the next id by class, then by
 member of the class. Windows overlap: each id is scored in one window only, and all but a text's
 first ids see at least WINDOW - STRIDE ids before it. Ids outside the HEAD most frequent
-share a slot, and the slot's probability evenly.
+share a slot, and the slot's probability by their counts.
 
 Classes either begin a word (or end the text) or go on with one, so the network gives the
 probability that a word is over, and with it a proper probability of whole words:
@@ -15,12 +15,16 @@ share of the word in all training tokens; and a copy head that attends evenly to
 words of the text. All three sum to at most one, and so does a mixture. A text's
 probability is the mean over a few fixed mixtures, so that each text leans to the one that suits it.
 
+Texts are dealt to slices of about SLICE_BYTES by a hash of id and text, sorted within their slice; all that is fitted or scored
+goes by slices, so the scores don't depend on the partitions of the input.
 Training covers the corpus: the word counts, and the subword counts from them, are of all training texts;
-the network is fitted by rounds of local SGD, in which each partition trains on all of its training
-texts, and the weights are averaged in two levels, so that no task or driver sees more than its part.
+the network is fitted by ROUNDS of local SGD, in which each slice trains on all of its training texts, and the weights are
+averaged in two levels, so that no task or driver sees more than its part. The rounds take the slices in turn, so
+each text is trained on in one of them (a corpus of one slice in all).
 
-Scoring deals the texts to slices of bounded bytes by a hash of id and text. Each slice
-asks for the counts of its distinct words once, however often they occur.
+One pass lists the words of each slice with their counts. The sums of these are the corpus counts, and the same rows ask for
+them: a slice gets the counts of its distinct words once, however often they occur. The FREQUENT commonest words are sent
+to all slices instead, so no word has a row a slice.
 
 Defined results: null text is empty, and an empty text is its end alone; rows with one id and text
 get one result; a null id has no crc32 and is trained on; without training texts every count is 0;
@@ -31,7 +35,6 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -41,7 +44,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +56,10 @@ CLASSES, MEMBERS = 32, 32
 SLOTS = CLASSES * MEMBERS
 #: Slots of the first half begin a word; the first two are the end of the text, and the rarer word beginnings.
 END, RARE_FIRST, RARE_NEXT = 0, 1, SLOTS // 2
-#: Each of ROUNDS of local SGD uses all training texts.
+#: A slice takes batches of BATCH windows, at least LEAST_STEPS of them a round if MOST_EPOCHS give so many.
 ROUNDS, BATCH, LEAST_STEPS, MOST_EPOCHS = 2, 64, 300, 6
+#: The commonest words, whose counts every task gets.
+FREQUENT = 50_000
 #: Weights of the count, network and copy parts that a text may have; all are as likely beforehand.
 MIXTURES = ((0.15, 0.68, 0.17), (0.45, 0.40, 0.15), (0.80, 0.08, 0.12), (0.93, 0.06, 0.01), (0.03, 0.95, 0.02), (0.10, 0.40, 0.50), (0.03, 0.07, 0.90), (0.30, 0.05, 0.65))
 SLICE_BYTES = 8 << 20
@@ -102,7 +106,7 @@ def make_slots(path: str, counts: dict[int, int]) -> Slots:
         slot[own] = at + np.arange(len(own))
         total[slot[own]] += found[own]
         total[RARE_FIRST if begins else RARE_NEXT] += found[others].sum()
-        rest[others] = -math.log(max(1, len(others)))
+        rest[others] = np.log((found[others] + 1) / (found[others] + 1).sum())
     return Slots(slot.astype(np.int16), rest.astype(np.float32), np.log(total / total.sum()).astype(np.float32))
 
 
@@ -155,28 +159,40 @@ class Network:
         """Of the mean loss over the places with weight 1."""
         grad = Network(np.zeros_like(self.flat))
         h, (x, q, k, v, a, z) = self.hidden(x_in)
-        t, w = target.reshape(-1), weight.reshape(-1) / max(1.0, float(weight.sum()))
+        t, w = target.reshape(-1), weight.reshape(-1) / np.float32(max(1.0, float(weight.sum())))
+        # Places with weight, in the order of their targets' classes.
         kind, member = np.divmod(t, MEMBERS)
-        c = h @ self.wc + self.bc
-        c = np.exp(c - c.max(axis=1, keepdims=True))
+        order = np.argsort(np.where(w > 0, kind, CLASSES).astype(np.uint8), kind="stable")[: np.count_nonzero(w)]
+        g, kind, member, w = h.take(order, axis=0), kind.take(order), member.take(order), w.take(order)
+        places = np.arange(len(order))
+        c = g @ self.wc + self.bc
+        c -= c.max(axis=1, keepdims=True)
+        np.exp(c, out=c)
         c /= c.sum(axis=1, keepdims=True)
-        loss = -(np.log(c[np.arange(len(c)), kind] + 1e-30) * w).sum()
-        c[np.arange(len(c)), kind] -= 1
+        loss = -float(np.log(c[places, kind] + 1e-30) @ w)
+        c[places, kind] -= 1
         c *= w[:, None]
-        grad.wc[...], grad.bc[...] = h.T @ c, c.sum(axis=0)
-        dh = c @ self.wc.T
-        order = np.argsort(np.where(w > 0, kind, CLASSES).astype(np.uint8), kind="stable")
-        ends = np.append(0, np.cumsum(np.bincount(kind[w > 0], minlength=CLASSES)))
-        for i in np.flatnonzero(np.diff(ends)).tolist():
-            rows = order[ends[i] : ends[i + 1]]
-            m = h[rows] @ self.wm[i] + self.bm[i]
-            m = np.exp(m - m.max(axis=1, keepdims=True))
-            m /= m.sum(axis=1, keepdims=True)
-            loss -= (np.log(m[np.arange(len(rows)), member[rows]] + 1e-30) * w[rows]).sum()
-            m[np.arange(len(rows)), member[rows]] -= 1
-            m *= w[rows, None]
-            grad.wm[i], grad.bm[i] = h[rows].T @ m, m.sum(axis=0)
-            dh[rows] += m @ self.wm[i].T
+        grad.wc[...], grad.bc[...] = g.T @ c, c.sum(axis=0)
+        dg = c @ self.wc.T
+        m = np.empty((len(order), MEMBERS), h.dtype)
+        ends = np.append(0, np.cumsum(np.bincount(kind, minlength=CLASSES))).tolist()
+        some = [(i, ends[i], ends[i + 1]) for i in range(CLASSES) if ends[i] < ends[i + 1]]
+        for i, at, to in some:
+            np.matmul(g[at:to], self.wm[i], out=m[at:to])
+        m += self.bm.take(kind, axis=0)
+        m -= m.max(axis=1, keepdims=True)
+        np.exp(m, out=m)
+        m /= m.sum(axis=1, keepdims=True)
+        loss -= float(np.log(m[places, member] + 1e-30) @ w)
+        m[places, member] -= 1
+        m *= w[:, None]
+        for i, at, to in some:
+            np.matmul(g[at:to].T, m[at:to], out=grad.wm[i])
+            dg[at:to] += m[at:to] @ self.wm[i].T
+        if some:
+            grad.bm[[i for i, _, _ in some]] = np.add.reduceat(m, [at for _, at, _ in some], axis=0)
+        dh = np.zeros_like(h)
+        dh[order] = dg
         dh *= h > 0
         grad.w1[...], grad.b1[...] = z.T @ dh, dh.sum(axis=0)
         dz = (dh @ self.w1.T).reshape(len(x_in), WINDOW, 2 * WIDTH)
@@ -205,8 +221,7 @@ class Scorer:
     What a place puts into attention depends on its slot and its place in the window only, so the
     queries, keys, values and the part of the hidden state that skips attention are looked up,
     with products of weights folded. A last hidden unit that is always 1 carries the biases.
-    Logits that could pass CEILING, by a bound over all inputs, are cut there instead of being shifted
-    by their maximum, which changes nothing for the sizes that training gives.
+    Logits are shifted by their maximum unless a bound over all inputs keeps them within CEILING, where float32 needs no shift.
     """
 
     CEILING = np.float32(60)
@@ -221,8 +236,8 @@ class Scorer:
         self.wc = put(np.vstack([net.wc, net.bc]))
         self.wm = put(np.concatenate([net.wm, net.bm[:, None]], axis=1))
         most = np.maximum(self.value.max(axis=0) + self.skip.max(axis=0), 0)  # attention gives means of values
-        self.cut_match = np.linalg.norm(self.query, axis=1).max() * np.linalg.norm(self.key, axis=1).max() > self.CEILING
-        self.cut_class, self.cut_member = ((most @ np.maximum(w, 0)).max() > self.CEILING for w in (self.wc, self.wm))
+        self.shift_match = np.linalg.norm(self.query, axis=1).max() * np.linalg.norm(self.key, axis=1).max() > self.CEILING
+        self.shift_class, self.shift_member = ((most @ np.abs(w)).max() > self.CEILING for w in (self.wc, self.wm))
         self.offset = np.arange(WINDOW) * SLOTS
         self.ones, self.full, self.half = np.ones(MEMBERS, np.float32), np.ones(WINDOW, np.float32), np.ones(CLASSES // 2, np.float32)
         self.every = np.ones(CLASSES, np.float32)
@@ -231,8 +246,9 @@ class Scorer:
     def hidden(self, x_in: np.ndarray) -> np.ndarray:
         x = x_in + self.offset
         a = np.matmul(self.query.take(x, axis=0), np.ascontiguousarray(self.key.take(x, axis=0).transpose(0, 2, 1)))
-        if self.cut_match:
-            np.minimum(a, self.CEILING, out=a)
+        if self.shift_match:
+            a += MASK
+            a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
         a *= self.causal
         h = np.matmul(a, self.value.take(x, axis=0)).reshape(-1, HIDDEN + 1)
@@ -246,8 +262,8 @@ class Scorer:
         order = np.argsort(kind.astype(np.uint8), kind="stable")
         h, kind, member = h.take(order, axis=0), kind.take(order), member.take(order)
         c = h @ self.wc
-        if self.cut_class:
-            np.minimum(c, self.CEILING, out=c)
+        if self.shift_class:
+            c -= c.max(axis=1, keepdims=True)
         place = np.arange(0, c.size, CLASSES)
         log = c.ravel().take(place + kind)
         np.exp(c, out=c)
@@ -260,8 +276,8 @@ class Scorer:
         for k in np.flatnonzero(np.diff(ends)).tolist():
             at, to = ends[k], ends[k + 1]
             m = h[at:to] @ self.wm[k]
-            if self.cut_member:
-                np.minimum(m, self.CEILING, out=m)
+            if self.shift_member:
+                m -= m.max(axis=1, keepdims=True)
             log[at:to] += m.ravel().take(place[: to - at] + member[at:to])
             np.exp(m, out=m)
             inner[at:to] = m @ self.ones
@@ -385,8 +401,14 @@ def earlier(number: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.nda
     return count, before
 
 
-def score_texts(reader: Reader, net: Network, texts: pa.Array, count_of: dict[str, int], n_tokens: int, n_ends: int) -> pd.DataFrame:
-    """n_tokens, n_known, sum of log10(c + 1), and the model's log10 probability of each text."""
+def counts_of(distinct: list[str], words: pa.Array, counts: np.ndarray) -> np.ndarray:
+    """Each word's count, 0 for words that are not listed."""
+    at = pc.index_in(pa.array(distinct, pa.large_string()), value_set=words).fill_null(len(counts))
+    return np.append(counts, 0).astype(np.float64)[np.asarray(at)]
+
+
+def score_texts(reader: Reader, net: Network, texts: pa.Array, words: pa.Array, word_counts: np.ndarray, n_tokens: int, n_ends: int) -> pd.DataFrame:
+    """n_tokens, n_known, sum of log10(c + 1), and the log10 probability of each text by the model and by the network alone."""
     distinct, number, n_words, share, word_at, sequence, lengths = reader.sequences(texts)
     log, begins = network_logs(net, sequence, lengths)
     sums = np.concatenate([[0.0], np.cumsum(log, dtype=np.float64)])
@@ -396,7 +418,7 @@ def score_texts(reader: Reader, net: Network, texts: pa.Array, count_of: dict[st
     last = np.cumsum(n_words)[n_words > 0] - 1
     stop[last] = end_at[n_words > 0]
     own = sums[stop] - sums[word_at] - begins[word_at] + begins[stop] + share[number]
-    counts = np.fromiter((count_of.get(w, 0) for w in distinct), np.float64, len(distinct))[number]
+    counts = counts_of(distinct, words, word_counts)[number]
     copied, before = earlier(number, n_words)
     some = before > 0
     owner = np.repeat(np.arange(len(n_words)), n_words)
@@ -424,6 +446,7 @@ def score_texts(reader: Reader, net: Network, texts: pa.Array, count_of: dict[st
             "n_known": (total(counts > 0) + (n_ends > 0)).astype(np.int64),
             "log_counts": total(np.log10(counts + 1)) + math.log10(n_ends + 1),
             "score": score / math.log(10),
+            "network_score": (total(np.minimum(own, 0.0)) + np.minimum(log[end_at] - begins[end_at], 0.0)) / math.log(10),
         }
     )
 
@@ -448,6 +471,7 @@ def averaged(parts: DataFrame) -> np.ndarray | None:
     """Mean of the weights, by their numbers of ids, in two levels of groups."""
 
     def mean(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("pid")  # float sums in one order
         total = group["n"].sum()
         w = sum(np.frombuffer(x, np.float32).astype(np.float64) * n for x, n in zip(group["w"], group["n"], strict=True)) / total
         return pd.DataFrame({"pid": [int(group["pid"].iloc[0]) // 64], "n": [total], "w": [w.astype(np.float32).tobytes()]})
@@ -456,69 +480,81 @@ def averaged(parts: DataFrame) -> np.ndarray | None:
     for _ in range(2):
         parts = parts.groupBy(F.expr("pid div 64").alias("g")).applyInPandas(mean, schema)
     total, w = 0, 0.0
-    for r in parts.collect():  # one in 4096 partitions' worth
+    for r in sorted(parts.collect(), key=lambda r: r["pid"]):  # one in 4096 slices' worth
         total, w = total + r["n"], w + np.frombuffer(r["w"], np.float32).astype(np.float64) * r["n"]
     return (w / total).astype(np.float32) if total else None
 
 
-def train(training: DataFrame, counts: DataFrame, path: str, n_texts: int) -> tuple[Slots, np.ndarray]:
-    """Slots and network weights, from all training texts and their word counts."""
+def fit_slice(net: Network, reader: Reader, texts: pa.Array, seed: int, later: bool) -> int:
+    """Adam on all windows of the texts, which change net; gives their number of ids."""
+    m, v, step, rng = np.zeros_like(net.flat), np.zeros_like(net.flat), 0, np.random.default_rng(seed)
+    parts = [reader.sequences(batch.column("text"))[-2:] for batch in by_bytes(iter(pa.table({"text": texts}).to_batches()))]
+    if not parts:
+        return 0
+    sequence, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
+    inputs = np.append(END, sequence[:-1])
+    inputs[ragged(lengths)[0]] = END
+    first, size, scored = windows(lengths)
+    column, epochs = np.arange(WINDOW), min(MOST_EPOCHS, max(1, -(-LEAST_STEPS * BATCH // max(1, len(first)))))
+    for order in (rng.permutation(len(first)) for _ in range(epochs)):
+        for at in range(0, len(order), BATCH):
+            w = order[at : at + BATCH]
+            place = np.minimum(first[w, None] + column, len(sequence) - 1)
+            live = column < size[w, None]
+            own = live & (column >= (size - scored)[w, None])
+            g, _ = net.gradient(np.where(live, inputs[place], END), np.where(live, sequence[place], END), own.astype(np.float32))
+            step += 1
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            rate = 0.01 / (1 + step / 500) * (0.5 if later else 1)
+            net.flat -= np.float32(rate) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
+    return len(sequence)
+
+
+def train(training: DataFrame, counts: DataFrame, path: str, n_texts: int, n_slices: int) -> tuple[Slots, np.ndarray]:
+    """Slots and network weights, from all training texts (slice, id, text) and their word counts."""
     slots = make_slots(path, subword_counts(counts, n_texts, path))
     flat = Network.start(slots.log_counts).flat
-    for r in range(ROUNDS):
+    turns = min(ROUNDS, n_slices)
+
+    def fitted(r: int, flat: np.ndarray):
         shared = training.sparkSession.sparkContext.broadcast((slots, flat))
 
-        def fit(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
+        def fit(table: pa.Table) -> pa.Table:
             slots, flat = shared.value
-            reader, net = Reader(path, slots), Network(flat.copy())
-            m, v, step, seen, rng = np.zeros_like(flat), np.zeros_like(flat), 0, 0, np.random.default_rng(TaskContext.get().partitionId() + 1000 * r)
-            for batch in by_bytes(batches):
-                _, _, _, _, _, sequence, lengths = reader.sequences(batch.column("text"))
-                inputs = np.append(END, sequence[:-1])
-                inputs[ragged(lengths)[0]] = END
-                first, size, scored = windows(lengths)
-                column = np.arange(WINDOW)
-                epochs = min(MOST_EPOCHS, max(1, -(-LEAST_STEPS * BATCH // max(1, len(first)))))
-                for order in (rng.permutation(len(first)) for _ in range(epochs)):
-                    for at in range(0, len(order), BATCH):
-                        w = order[at : at + BATCH]
-                        place = np.minimum(first[w, None] + column, len(sequence) - 1)
-                        live = column < size[w, None]
-                        own = live & (column >= (size - scored)[w, None])
-                        g, _ = net.gradient(np.where(live, inputs[place], END), np.where(live, sequence[place], END), own.astype(np.float32))
-                        step += 1
-                        m += 0.1 * (g - m)
-                        v += 0.01 * (g * g - v)
-                        rate = 0.01 / (1 + step / 500) * (0.5 if r else 1)
-                        net.flat -= np.float32(rate) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
-                seen += len(sequence)
-            if seen:
-                yield pa.RecordBatch.from_pydict({"pid": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([seen], pa.int64()), "w": pa.array([net.flat.tobytes()], pa.binary())})
-
-        new = averaged(training.mapInArrow(fit, "pid long, n long, w binary"))
+            net, number = Network(flat.copy()), table["slice"][0].as_py()
+            seen = fit_slice(net, Reader(path, slots), in_order(table)["text"], 1000 * number + r, r > 0)
+            return pa.table({"pid": pa.array([number], pa.int64()), "n": pa.array([seen], pa.int64()), "w": pa.array([net.flat.tobytes()], pa.binary())})
+
+        return fit
+
+    for r in range(ROUNDS):
+        part = training.where(F.col("slice") % turns == r % turns)
+        new = averaged(part.groupBy("slice").applyInArrow(fitted(r, flat), "pid long, n long, w binary"))
         flat = flat if new is None else new
     return slots, flat
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """(word, c) of all training texts, without the ends."""
+def in_order(table: pa.Table) -> pa.Table:
+    """The rows of a slice in an order that doesn't depend on how they came."""
+    return table.sort_by([("id", "ascending"), ("text", "ascending")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+def listed(sliced: DataFrame) -> DataFrame:
+    """(slice, word, n): the distinct words of each slice, and how often its training texts have them."""
 
-        for batch in by_bytes(batches):
-            words, counts = pc.value_counts(words_in(batch.column("text"))[0]).flatten()
-            for w, n in zip(words.to_pylist(), counts.to_pylist(), strict=True):
-                found[w] += n
-            if len(found) > KEPT_WORDS:
-                yield out()
-                found.clear()
-        yield out()
+    def count(table: pa.Table) -> pa.Table:
+        words, held = [], []
+        for batch in by_bytes(iter(table.to_batches()), most=2 << 20):
+            flat, number = words_in(batch.column("text"))
+            words.append(flat)
+            held.append(np.repeat(np.asarray(batch.column("held")), number))
+        coded = pa.concat_arrays(words).dictionary_encode()
+        place = np.asarray(coded.indices)
+        n = np.bincount(place[~np.concatenate(held)], minlength=len(coded.dictionary))
+        return pa.table({"slice": pa.array(np.full(len(n), table["slice"][0].as_py(), np.int64)), "word": coded.dictionary.cast(pa.string()), "n": pa.array(n.astype(np.int64))})
 
-    return training.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return sliced.groupBy("slice").applyInArrow(count, "slice long, word string, n long")
 
 
 def shared_table(df: DataFrame) -> DataFrame:
@@ -530,55 +566,40 @@ def shared_table(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, network_score of every row."""
     docs = keyed_text(docs, id_col, text_col)
     held = F.coalesce(fold("id", FOLDS) == HELD_OUT, F.lit(False))
-    training = docs.where(~held)
-    counts = shared_table(word_counts(training))
-    n_distinct, n_words = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     size, n_ends = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 64), F.lit(0)), F.coalesce(F.sum((~held).cast("long")), F.lit(0))).first()
+    n_slices = max(1, -(-size // slice_bytes))
+    sliced = docs.select(F.pmod(F.xxhash64("id", "text"), F.lit(n_slices)).alias("slice"), "id", "text", held.alias("held"))
+    words = shared_table(listed(sliced))
+    counts = shared_table(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"))
+    n_distinct, n_words = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     n_tokens, n_distinct = n_words + n_ends, n_distinct + (n_ends > 0)
-    slots, flat = train(training, counts, path, n_ends)
-    shared = docs.sparkSession.sparkContext.broadcast((slots, flat))
-    n_slices = max(1, -(-size // SLICE_BYTES))
-    sliced = docs.withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(n_slices))).repartition("slice")
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct words of each slice; those of slices that come mixed are held for few batches."""
-        held_words: dict[int, set[str]] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for s, words in held_words.items():
-                yield pa.RecordBatch.from_pydict({"slice": pa.array([s] * len(words), pa.int64()), "word": pa.array(list(words), pa.string())})
-
-        for batch in by_bytes(batches):
-            of = np.asarray(batch.column("slice"))
-            for s in np.unique(of).tolist():
-                words, _ = words_in(batch.column("text").filter(pa.array(of == s)))
-                held_words.setdefault(s, set()).update(words.dictionary_encode().dictionary.to_pylist())
-            if sum(map(len, held_words.values())) > 4 * KEPT_WORDS:
-                yield from out()
-                held_words.clear()
-        yield from out()
-
-    wanted = sliced.mapInArrow(asked, "slice long, word string")
-    known = wanted.join(counts, "word").select("slice", "word", "c")
+    slots, flat = train(sliced.where(~F.col("held")).select("slice", "id", "text"), counts, path, n_ends, n_slices)
+    common = counts.orderBy(F.desc("c"), "word").limit(FREQUENT)
+    frequent = common.toArrow().combine_chunks()
+    shared = docs.sparkSession.sparkContext.broadcast((slots, flat, frequent))
+    # Bounded by FREQUENT rows.
+    rest = counts.join(F.broadcast(common.select("word")), "word", "left_anti")
+    known = words.select("slice", "word").join(rest, "word")
 
     def scored(key, texts: pa.Table, words: pa.Table) -> pa.Table:
-        slots, flat = shared.value
+        slots, flat, frequent = shared.value
         reader, net = Reader(path, slots), Network(flat)
-        count_of = dict(zip(words.column("word").to_pylist(), words.column("c").to_pylist(), strict=True))
+        value_set = pa.chunked_array([*frequent["word"].chunks, *words["word"].chunks], pa.string()).cast(pa.large_string()).combine_chunks()
+        counts = np.concatenate([np.asarray(frequent["c"]), np.asarray(words["c"])])
         out = []
-        for batch in by_bytes(iter(texts.to_batches()), most=2 << 20):
-            found = score_texts(reader, net, batch.column("text"), count_of, n_tokens, n_ends)
+        for batch in by_bytes(iter(in_order(texts).to_batches()), most=2 << 20):
+            found = score_texts(reader, net, batch.column("text"), value_set, counts, n_tokens, n_ends)
             out.append(pa.Table.from_pydict({"doc_id": batch.column("id"), **{c: pa.array(found[c].to_numpy()) for c in found}}))
-        empty = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_counts", pa.float64()), ("score", pa.float64())])
+        empty = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), *((c, pa.float64()) for c in ("log_counts", "score", "network_score"))])
         return pa.concat_tables(out) if out else empty.empty_table()
 
-    rows = sliced.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(scored, "doc_id long, n_tokens long, n_known long, log_counts double, score double")
+    rows = sliced.select("slice", "id", "text").groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(scored, "doc_id long, n_tokens long, n_known long, log_counts double, score double, network_score double")
     base = F.col("log_counts") - F.col("n_tokens") * math.log10(n_tokens + n_distinct + 1)
-    return rows.select("doc_id", F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return rows.select("doc_id", F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "network_score")
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

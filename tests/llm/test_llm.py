@@ -400,3 +400,78 @@ def test_pipeline_stages(spark):
         seen.append(name)
         assert set(docs.columns) <= set(out.columns) and 0 < out.count() <= before
     assert seen == ["toxicity", "quality", "near_copies", "decontamination", "pieces"] and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark):
+    """Several slices, so that rounds, averages and lists of words all take part."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").toPandas()
+    got = []
+    for n in (1, 5, 32):
+        df = spark.createDataFrame(docs.sample(frac=1, random_state=n), "doc_id long, text string").repartition(n)
+        rows = attention_lm.score(df, sentencepiece_lattice.default_model(), slice_bytes=150_000).collect()
+        got.append(np.array([r.score for r in sorted(rows, key=lambda r: r.doc_id)]))
+    assert len(got[0]) == len(docs) and abs(got[1] - got[0]).max() < 1e-6 and abs(got[2] - got[0]).max() < 1e-6
+
+
+def test_lm_probabilities_by_a_plain_model(spark):
+    """Words, windows, classes, copies and mixtures of 20 texts, place by place, against the batched scorer."""
+    import math
+    from collections import Counter
+
+    import pyarrow as pa
+
+    path = sentencepiece_lattice.default_model()
+    docs = [r.text.lower() for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(20).collect()]
+    docs = [" ".join(t.split()[:60]) for t in docs] + [""]
+    model = attention_lm.subwords(path)
+    words = Counter(w for t in docs[::2] for w in t.split())
+    ids = Counter()
+    for w, c in words.items():
+        for i in model.encode(w) or [0]:
+            ids[i] += c
+    slots = attention_lm.make_slots(path, dict(ids) | {-1: 11})
+    net = attention_lm.Network.start(slots.log_counts)
+    net.flat += np.random.default_rng(3).normal(0, 0.2, len(net.flat)).astype(np.float32)
+    n_tokens = sum(words.values()) + 11
+    found = attention_lm.score_texts(attention_lm.Reader(path, slots), net, pa.array(docs, pa.string()), pa.array(list(words), pa.large_string()), np.array(list(words.values())), n_tokens, 11)
+
+    def softmax(x):
+        x = np.exp(x - x.max())
+        return x / x.sum()
+
+    def place(before):
+        """Probabilities of all slots after the given ones of a window."""
+        x = np.array([net.emb[s] + net.pos[i] for i, s in enumerate(before)], np.float64)
+        a = softmax((x[-1] @ net.wq) @ (x @ net.wk).T * attention_lm.SCALE)
+        h = np.maximum(np.concatenate([x[-1], a @ (x @ net.wv)]) @ net.w1 + net.b1, 0)
+        kinds = softmax(h @ net.wc + net.bc)
+        return np.concatenate([kinds[k] * softmax(h @ net.wm[k] + net.bm[k]) for k in range(attention_lm.CLASSES)])
+
+    for text, score in zip(docs, found["score"], strict=True):
+        sequence, spans, shares = [], [], []
+        for w in text.split():
+            own = model.encode(w) or [0]
+            at = [int(slots.slot[i]) for i in own]
+            at = [attention_lm.RARE_FIRST if at[0] >= attention_lm.RARE_NEXT else at[0], *(attention_lm.RARE_NEXT if s < attention_lm.RARE_NEXT else s for s in at[1:])]
+            spans.append((len(sequence), len(sequence) + len(at)))
+            shares.append(sum(float(slots.log_share[i]) for i in own))
+            sequence += at
+        sequence.append(attention_lm.END)
+        inputs = [attention_lm.END, *sequence[:-1]]
+        each, starts = [], []
+        for i in range(len(sequence)):
+            nth = 0 if i < attention_lm.WINDOW else -(-(i + 1 - attention_lm.WINDOW) // attention_lm.STRIDE)
+            p = place(inputs[nth * attention_lm.STRIDE : i + 1])
+            each.append(math.log(p[sequence[i]]))
+            starts.append(math.log(p[: attention_lm.RARE_NEXT].sum()))
+        mixed = []
+        for u, n, c in attention_lm.MIXTURES:
+            total, earlier = 0.0, Counter()
+            for k, (w, (a, b)) in enumerate(zip(text.split(), spans, strict=True)):
+                network = math.exp(min(0.0, sum(each[a:b]) - starts[a] + starts[b] + shares[k]))
+                share = words.get(w, 0) / n_tokens
+                total += math.log(u * share + n * network + c * (earlier[w] / k if k else share))
+                earlier[w] += 1
+            total += math.log((u if spans else u + c) * 11 / n_tokens + n * math.exp(min(0.0, each[-1] - starts[-1])))
+            mixed.append(total)
+        assert abs((np.logaddexp.reduce(mixed) - math.log(len(mixed))) / math.log(10) - score) < 1e-3 * max(1.0, abs(score))
