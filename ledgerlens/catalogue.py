@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlens.plans import protocol  # noqa: F401  adds its queries
 from ledgerlens.plans import queries as plans
 
 

@@ -48,10 +48,6 @@ def timeout_micros(node: Column, draw: Column) -> Column:
     return F.pmod(F.xxhash64(node, draw), F.lit(TIMEOUT_HIGH_MICROS - TIMEOUT_LOW_MICROS)) + TIMEOUT_LOW_MICROS
 
 
-def bucket(x: Column, width: float) -> Column:
-    return F.floor(x / width) * width
-
-
 def encode_put(key: Column, value: Column) -> Column:
     return F.concat_ws("|", F.lit("put"), key.cast("string"), value)
 
@@ -63,6 +59,22 @@ def decode_put(command: Column) -> tuple[Column, Column, Column]:
     return valid, F.when(valid, F.try_element_at(parts, F.lit(2))), F.when(valid, F.try_element_at(parts, F.lit(3)))
 
 
+def trimmed(x: Column, prefix: str = "") -> Column:
+    """Without white space at both ends, then without the prefix."""
+    x = F.trim(x)
+    return F.when(F.startswith(x, F.lit(prefix)), F.substring(x, len(prefix) + 1, 2147483647)).otherwise(x) if prefix else x
+
+
+def parsed_int(x: Column) -> Column:
+    """The whole number that the text is, or null."""
+    return F.when(F.trim(x).rlike(r"^[+-]?[0-9]+$"), F.trim(x).try_cast("long"))
+
+
+def padded(x: Column, width: int) -> Column:
+    """Zero-padded, as client and key names are."""
+    return F.lpad(x.cast("string"), width, "0")
+
+
 def _be32(x: Column) -> Column:
     return F.unhex(F.lpad(F.hex(x), 8, "0"))
 

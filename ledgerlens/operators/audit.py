@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.repair import differs
+from ledgerlens.operators.stats import range_buckets
 
 
 def log_matching(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -19,6 +20,14 @@ def log_matching(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.where((F.col("a.term") == F.col("b.term")) & (F.col("a.idx") >= first.scalar())).select(F.col("a.idx").alias("idx"), F.col("a.term").alias("term"))
 
 
+def log_matching_copies(a: DataFrame, copies: DataFrame) -> DataFrame:
+    """The same for several copies in one join: copies has a column `copy`. The first difference of each copy is found in the joined rows."""
+    both = a.alias("a").join(copies.alias("b"), F.col("a.idx") == F.col("b.idx")).select("copy", F.col("a.idx").alias("idx"), F.col("a.term").alias("term"), (F.col("a.term") == F.col("b.term")).alias("same"), differs().alias("off"))
+    # An entry counts if it comes at or after its copy's first difference.
+    first = both.groupBy("copy").agg(F.min(F.when(F.col("off"), F.col("idx"))).alias("first"))  # a row a copy
+    return both.where("same").join(F.broadcast(first), "copy").where("idx >= first").select("copy", "idx", "term")
+
+
 def commit_ledger(*committed: DataFrame) -> DataFrame:
     """Indexes at which committed entries disagree, and in how many versions."""
     every = committed[0]
@@ -76,11 +85,50 @@ def bad_transitions(states: DataFrame, by: str, order: str, role: str, allowed:
 
 
 def peak(intervals: DataFrame) -> DataFrame:
-    """One row: the most intervals [start, stop) open at once. Starts and stops are summed by instant before they are ordered."""
+    """One row: the most intervals [start, stop) open at once.
+
+    Starts and stops are summed by instant; a running sum goes within ranges of instants, and on top of the ranges' totals before it.
+    """
     steps = intervals.select(F.col("start").alias("at"), F.lit(1).alias("d")).unionByName(intervals.select(F.col("stop").alias("at"), F.lit(-1).alias("d")))
-    net = steps.groupBy("at").agg(F.sum("d").alias("d"))
-    running = F.sum("d").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    return net.select(running.alias("open")).agg(F.max("open").cast("long").alias("peak"))
+    order = F.unix_micros(F.col("at").cast("timestamp"))
+    net = range_buckets(steps.groupBy(order.alias("at")).agg(F.sum("d").alias("d")), "at")
+    totals = net.groupBy("bucket").agg(F.sum("d").alias("d")).agg(F.collect_list(F.struct("bucket", "d")).alias("totals")).scalar()  # a row a range
+    running = F.sum("d").over(Window.partitionBy("bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    best = net.select("bucket", running.alias("open")).groupBy("bucket").agg(F.max("open").alias("open"))
+    before = F.aggregate(F.filter("totals", lambda t: t["bucket"] < F.col("bucket")), F.lit(0).cast("long"), lambda n, t: n + t["d"])
+    return best.withColumn("totals", totals).select((F.col("open") + before).alias("open")).agg(F.max("open").cast("long").alias("peak"))
+
+
+def deliverable(messages: DataFrame, groups: DataFrame, drop: Column, drop_reply: Column) -> DataFrame:
+    """messages (send_seq, src, dst) with request_ok and reply_ok: both ends share a group, and each way has a draw of its own."""
+    member = groups.select("node", "group").distinct()
+    together = member.alias("a").join(member.alias("b"), F.col("a.group") == F.col("b.group")).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"), F.lit(True).alias("joined")).distinct()
+    request = F.coalesce("joined", F.lit(False)) & ~F.col("drop")
+    rolled = messages.withColumns({"drop": drop, "drop_reply": drop_reply}).join(together, ["src", "dst"], "left")
+    return rolled.select("send_seq", "src", "dst", request.alias("request_ok"), (request & ~F.col("drop_reply")).alias("reply_ok"))
+
+
+def network_totals(routed: DataFrame) -> DataFrame:
+    """One row: calls, requests and replies lost."""
+    return routed.agg(F.count("*").alias("n_rpcs"), F.count_if(~F.col("request_ok")).alias("n_requests_lost"), F.count_if(F.col("request_ok") & ~F.col("reply_ok")).alias("n_replies_lost"))
+
+
+def arrivals(sent: DataFrame, delay: Column) -> DataFrame:
+    """sent (src, dst, send_seq, sent_at) in the order in which delayed messages arrive: a reorder is seen, not configured."""
+    order = Window.partitionBy("src", "dst").orderBy("arrives", "send_seq")
+    return sent.withColumn("arrives", F.col("sent_at") + delay).withColumn("arrive_ord", F.row_number().over(order)).select("src", "dst", "send_seq", "arrive_ord")
+
+
+def election_totals(terms: DataFrame, by: str) -> DataFrame:
+    """(by, trial, term, retries) -> per group: highest term, retries, and terms beyond a trial's first, on average and at worst."""
+    trial = terms.groupBy(by, "trial").agg(F.max("term").alias("top"), F.sum("retries").alias("retries"), (F.count_distinct("term") - 1).alias("extra"))
+    return trial.groupBy(by).agg(F.max("top").alias("max_term"), F.sum("retries").alias("retries"), F.round(F.avg("extra"), 6).alias("mean_extra"), F.max("extra").alias("worst_extra"))
+
+
+def missed_deadlines(rows: DataFrame, by: str, order: str, at: str, resets: Column, micros: int) -> DataFrame:
+    """Per key: how often a timer that only some rows reset runs out, and its longest run. Other rows don't touch it."""
+    run = F.col(at) - F.lag(at).over(Window.partitionBy(by).orderBy(order))
+    return rows.where(resets).select(by, run.alias("run")).groupBy(by).agg(F.count_if(F.col("run") > micros).alias("n_timeouts"), F.coalesce(F.max("run"), F.lit(0)).alias("longest"))
 
 
 def reachable_pairs(members: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import next_index_after_conflict
+from ledgerlens.operators.stats import range_buckets
 
 
 def term_runs(log: DataFrame) -> DataFrame:
@@ -17,11 +18,13 @@ def term_runs(log: DataFrame) -> DataFrame:
     before = log.select((F.col("idx") + 1).alias("idx"), F.col("term").alias("before"))
     starts = log.join(before, "idx", "left").where(F.col("before").isNull() | (F.col("before") != F.col("term"))).select("idx", "term")
     last = log.agg(F.max("idx").alias("n"))
-    # One row a run.
-    following = F.lead("idx").over(Window.orderBy("idx"))
-    return starts.select(F.col("idx").alias("run_start"), "term", following.alias("following")).select(
-        "run_start", F.coalesce(F.col("following") - 1, last.scalar()).alias("run_end"), "term"
-    )
+    # Neighbours are found within ranges of run starts; a range's last start is followed by the next range's first.
+    ranged = range_buckets(starts, "idx")
+    firsts = ranged.groupBy("bucket").agg(F.min("idx").alias("idx")).agg(F.collect_list("idx")).scalar()
+    inside = F.lead("idx").over(Window.partitionBy("bucket").orderBy("idx"))
+    following = F.coalesce("inside", F.array_min(F.filter("firsts", lambda x: x > F.col("idx"))))
+    found = ranged.withColumn("inside", inside).withColumn("firsts", firsts).select(F.col("idx").alias("run_start"), "term", following.alias("following"))
+    return found.select("run_start", F.coalesce(F.col("following") - 1, last.scalar()).alias("run_end"), "term")
 
 
 def last_of_term(log: DataFrame, terms: DataFrame) -> DataFrame:

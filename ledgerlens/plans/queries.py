@@ -52,7 +52,7 @@ def _cut(spark: SparkSession, sf: str):
 
 @query(W + f"SELECT key, arg_max(value, idx) AS value, max(idx) AS idx FROM L WHERE NOT no_op AND idx <= {COMMIT} GROUP BY key")
 def kv_at_commit(spark, sf):
-    return commit.kv_fold(A.log(spark, sf).where(F.col("idx") <= _commit(spark, sf).scalar()))
+    return commit.kv_fold(A.log(spark, sf).where(F.col("idx") <= A.committed(spark, sf)))
 
 
 @query(W + "SELECT max(idx) AS last_idx, arg_max(term, idx) AS last_term FROM L")
@@ -189,8 +189,8 @@ def next_index(spark, sf):
 @query(W + """, msg AS (SELECT L.* FROM L, C WHERE idx > cut - 10 AND idx <= (SELECT n FROM N) - (SELECT n FROM N) // 4), k AS (SELECT min(msg.idx) AS c FROM msg JOIN D ON msg.idx = D.idx WHERE msg.term <> D.term)
     SELECT * FROM D WHERE idx < (SELECT coalesce(c, 9223372036854775807) FROM k) UNION ALL SELECT * FROM msg WHERE idx >= (SELECT coalesce(c, 9223372036854775807) FROM k) OR idx > (SELECT max(idx) FROM D)""")
 def merge_log(spark, sf):
-    n = A.n_entries(spark, sf)
-    low, high = n.select(F.expr("n div 2 - 10")).scalar(), n.select(F.expr("n - n div 4")).scalar()
+    n, _ = A.shape(spark, sf)
+    low, high = n // 2 - 10, n - n // 4
     return repair.merge(A.follower(spark, sf), A.log(spark, sf).where((F.col("idx") > low) & (F.col("idx") <= high)))
 
 
@@ -207,8 +207,7 @@ DIFF = "NOT (a.term IS NOT DISTINCT FROM b.term AND a.key IS NOT DISTINCT FROM b
 @query(W + ", " + ", ".join(f"""f{t} AS (SELECT '{t}' AS copy, a.idx, a.term FROM L a JOIN {t} b USING (idx) WHERE a.term = b.term AND idx >= (SELECT min(a.idx) FROM L a JOIN {t} b ON a.idx = b.idx WHERE {DIFF}))""" for t in ("D", "X")) + """
     SELECT copy, term, count(*) AS n_violations, min(idx) AS first_violation FROM (SELECT * FROM fD UNION ALL SELECT * FROM fX) GROUP BY 1, 2""")
 def log_matching_audit(spark, sf):
-    log = A.log(spark, sf)
-    found = audit.log_matching(log, A.follower(spark, sf)).withColumn("copy", F.lit("D")).unionByName(audit.log_matching(log, A.mutated(spark, sf)).withColumn("copy", F.lit("X")))
+    found = audit.log_matching_copies(A.log(spark, sf), A.copies(spark, sf))
     return found.groupBy("copy", "term").agg(F.count("*").alias("n_violations"), F.min("idx").alias("first_violation"))
 
 
@@ -335,12 +334,6 @@ def reachability(spark, sf):
     return audit.reachable_pairs(A.read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("node"), F.col("n_regionkey").alias("group")))
 
 
-@query("""SELECT src_seq AS send_seq, delivered FROM (SELECT event_id AS src_seq, NOT (event_id * 7919 % 100 < 10) AND user_id % 5 <> 3 AS delivered FROM events)""")
-def deliverable(spark, sf):
-    dropped = (F.col("event_id") * 7919) % 100 < 10  # a fixed draw, so that it doesn't depend on partitions
-    return A.read(spark, sf, "events").select(F.col("event_id").alias("send_seq"), (~dropped & (F.pmod("user_id", F.lit(5)) != 3)).alias("delivered"))
-
-
 @query("""WITH d AS (SELECT event_type, date_diff('day', DATE '2024-01-01', ts) AS day, count(*) // 10 AS reading FROM events GROUP BY 1, 2)
     SELECT event_type, CAST(day AS BIGINT) AS day, coalesce(reading = lag(reading) OVER (PARTITION BY event_type ORDER BY day), false) AS settled FROM d""")
 def settled(spark, sf):

@@ -39,20 +39,40 @@ def match(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shape(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """n, and the term at n div 2: two small jobs (one column; one row), so that later filters have constants."""
+    events = read(spark, sf_dir, "events")
+    n = events.agg(F.max("event_id")).first()[0]
+    n = 0 if n is None else n + 1
+    at_cut = events.where(F.col("event_id") == n // 2 - 1).agg(F.max(term_of(F.col("ts")))).first()[0]
+    return n, at_cut or 0
+
+
 def follower(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries, n = log(spark, sf_dir), n_entries(spark, sf_dir)
-    cut, extra = n.select(F.expr("n div 2")), n.select(F.expr("n div 10"))
-    at_cut = entries.where(F.col("idx") == cut.scalar()).agg(F.coalesce(F.max("term"), F.lit(0)).cast("long"))
-    kept = entries.where(F.col("idx") <= cut.scalar() + extra.scalar())
-    inside = F.col("idx") <= F.col("cut")
-    marked = kept.select("*", cut.scalar().alias("cut"), at_cut.scalar().alias("cut_term"))
-    same = inside | (F.col("term") == F.col("cut_term"))
-    return marked.select(
-        "idx", F.when(inside, F.col("term")).otherwise(F.col("cut_term")).alias("term"), "key", F.when(same, F.col("value")).otherwise(F.concat("value", F.lit("~"))).alias("value"), "no_op"
-    )
+    n, cut_term = shape(spark, sf_dir)
+    inside = F.col("idx") <= n // 2
+    same = inside | (F.col("term") == cut_term)
+    kept = log(spark, sf_dir).where(F.col("idx") <= n // 2 + n // 10)
+    return kept.select("idx", F.when(inside, F.col("term")).otherwise(cut_term).cast("long").alias("term"), "key", F.when(same, F.col("value")).otherwise(F.concat("value", F.lit("~"))).alias("value"), "no_op")
 
 
 def mutated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The follower with one command changed in its shared half: what an audit must find."""
-    at = n_entries(spark, sf_dir).select(F.expr("n div 4"))
-    return follower(spark, sf_dir).withColumn("value", F.when(F.col("idx") == at.scalar(), F.concat("value", F.lit("!"))).otherwise(F.col("value")))
+    n, _ = shape(spark, sf_dir)
+    return follower(spark, sf_dir).withColumn("value", F.when(F.col("idx") == n // 4, F.concat("value", F.lit("!"))).otherwise(F.col("value")))
+
+
+def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Follower (D) and mutated follower (X) from one pass."""
+    n, _ = shape(spark, sf_dir)
+    changed = F.when((F.col("copy") == "X") & (F.col("idx") == n // 4), F.concat("value", F.lit("!"))).otherwise(F.col("value"))
+    return follower(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit("D"), F.lit("X")))).withColumn("value", changed)
+
+
+def committed(spark: SparkSession, sf_dir: str) -> int:
+    """The commit index of a cluster of N_NODES, as a constant: the quorum's index from n alone, then one pass over the log up to it."""
+    n, _ = shape(spark, sf_dir)
+    held = sorted([n, *(n - p * (n // 200) for p in range(1, N_NODES))], reverse=True)[N_NODES // 2]
+    entries = log(spark, sf_dir)
+    last = entries.groupBy("term").agg(F.max(F.when(F.col("idx") <= held, F.col("idx"))).alias("idx")).agg(F.max(F.struct("term", "idx"))["idx"]).first()[0]
+    return last or 0

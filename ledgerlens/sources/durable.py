@@ -62,6 +62,21 @@ class SnapshotStore:
         return self.spark.read.schema(schema).parquet(f"{self.folder}/v-{version}")
 
 
+class MemoryStore:
+    """The same contract in memory: the last saved state, cached; Spark rebuilds lost parts of it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.state = spark, None
+
+    def save(self, df: DataFrame) -> None:
+        old, self.state = self.state, df.cache()
+        if old is not None:
+            old.unpersist()
+
+    def load(self, schema: T.StructType) -> DataFrame:
+        return self.spark.createDataFrame([], schema) if self.state is None else self.state
+
+
 def encode_records(states: DataFrame, key: str) -> DataFrame:
     """(key, blob): the other columns as one framed JSON record."""
     rest = [c for c in states.columns if c != key]

@@ -19,9 +19,13 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where the cluster keeps checkpoints; a temporary one only where none is set."""
+    """A new folder where the cluster keeps checkpoints; a temporary one only on one machine, where none is set."""
     root = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = root.get() if root.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    base = root.get() if root.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="stream-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -33,17 +37,62 @@ def log_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) ->
     )
 
 
-def drain_kv(log: DataFrame, folder: str) -> DataFrame:
-    """The fold as a streaming aggregate. Every trigger writes its whole state to a version of its own; the last one counts."""
-    spark, versions = log.sparkSession, []
+def drain(updates: DataFrame, folder: str, schema: str) -> DataFrame:
+    """Runs a streaming aggregate in update mode over what is there. Each trigger writes only the rows that changed, to a version of
+    its own, which a repeated trigger replaces; a query that is started again on the folder goes on from its checkpoint."""
+    spark = updates.sparkSession
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/v{number}")
-        versions.append(number)
+        batch.write.mode("overwrite").parquet(f"{folder}/v/__version={number}")
 
-    query = kv_fold(log).writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
+    query = updates.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/v{max(versions)}") if versions else spark.createDataFrame([], "key long, value string, idx long")
+    return spark.read.schema(schema).parquet(f"{folder}/v").drop("__version") if query.lastProgress else spark.createDataFrame([], schema)
+
+
+def drain_kv(log: DataFrame, folder: str) -> DataFrame:
+    """The fold as a streaming aggregate: of all versions of a key the one with the latest index counts."""
+    found = drain(kv_fold(log), folder, "key long, value string, idx long")
+    last = F.max(F.struct("idx", "value"))
+    return found.groupBy("key").agg(last.alias("last")).select("key", "last.value", "last.idx")
+
+
+def drain_commits(moves: DataFrame, folder: str) -> DataFrame:
+    """(key, wanted, last) in any order -> each key's release point, which only moves forward and never past the log."""
+    point = F.max(F.when(F.col("wanted") <= F.col("last"), F.col("wanted")))
+    gate = moves.groupBy("key").agg(F.coalesce(point, F.lit(0).cast("long")).alias("released"))
+    return drain(gate, folder, "key long, released long").groupBy("key").agg(F.max("released").alias("released"))
+
+
+def drain_violations(committed: DataFrame, folder: str) -> DataFrame:
+    """Committed entries as they come (idx, term, key, value, no_op) -> the indexes at which two differ: a monitor over the whole run."""
+    entry = F.xxhash64("term", "key", "value", "no_op")
+    state = committed.groupBy("idx").agg(F.min(entry).alias("least"), F.max(entry).alias("most"))
+    return drain(state.where("least <> most").select("idx"), folder, "idx long").distinct()
+
+
+def drain_gapless(log: DataFrame, folder: str, by: str) -> DataFrame:
+    """`gapless` over what is there, to files."""
+    schema = f"{by} long, idx long, term long, value string"
+    query = gapless(log, by).writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{folder}/out")
+    query.awaitTermination()
+    return log.sparkSession.read.schema(schema).parquet(f"{folder}/out")
+
+
+def resend_ticks(spark: SparkSession, missing, keep, ticks: int, interval: str = "50 milliseconds") -> int:
+    """Every processing-time tick recomputes what is missing from the state and hands it to `keep(tick, rows)`; gives the ticks that ran."""
+    done: list[int] = []
+
+    def tick(_: DataFrame, number: int) -> None:
+        if len(done) < ticks:
+            keep(number, missing())
+            done.append(number)
+
+    query = spark.readStream.format("rate").option("rowsPerSecond", 50).load().writeStream.trigger(processingTime=interval).foreachBatch(tick).start()
+    while query.isActive and len(done) < ticks:
+        query.awaitTermination(1)
+    query.stop()
+    return len(done)
 
 
 def drain_apply(log: DataFrame, folder: str) -> DataFrame:

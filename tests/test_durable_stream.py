@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import frame, frame_fault
 from ledgerlens.operators.commit import kv_fold
 from ledgerlens.sources import adapters
-from ledgerlens.sources.durable import SnapshotStore, checked, decode_records, encode_records
-from ledgerlens.streaming import drain_kv, gapless, log_stream
+from ledgerlens.sources.durable import MemoryStore, SnapshotStore, checked, decode_records, encode_records
+from ledgerlens.streaming import drain_kv, gapless, log_stream, resend_ticks
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +62,41 @@ def test_gapless_delivery(spark, tmp_path):
     assert drain() == [(1, 1)]
     put("2", [(1, 2, 1, "b"), (1, 1, 1, "a"), (2, 1, 1, "a")])  # a late entry, a repeat, and the start of node 2
     assert drain() == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2)]
+
+
+def test_restart_goes_on_and_a_replay_rebuilds(spark, tmp_path):
+    """A stopped fold starts again on its checkpoint with more of the log there; one whose checkpoint is lost replays all of it."""
+    log, source = adapters.log(spark, SF), str(tmp_path / "log")
+    part = lambda low, high: log.where((F.col("idx") > low) & (F.col("idx") <= high)).coalesce(1).write.mode("append").parquet(source)
+    stream = lambda: spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    part(0, 200)
+    part(200, 400)
+    assert rows(drain_kv(stream(), str(tmp_path / "a"))) == rows(kv_fold(log.where("idx <= 400")))
+    part(400, 10**9)
+    assert rows(drain_kv(stream(), str(tmp_path / "a"))) == rows(kv_fold(log))
+    versions = spark.read.parquet(str(tmp_path / "a" / "v")).select("__version").distinct().count()
+    assert versions == 3  # the second start took the new file alone
+    assert rows(drain_kv(stream(), str(tmp_path / "b"))) == rows(kv_fold(log))
+
+
+def test_ticks_resend_what_is_missing(spark):
+    log = adapters.log(spark, SF)
+    state, sent = {"match": 0}, []
+
+    def missing():
+        return log.where(F.col("idx") > state["match"]).agg(F.count("*")).first()[0]
+
+    def keep(tick, n):
+        sent.append(n)
+        state["match"] += 100
+
+    assert resend_ticks(spark, missing, keep, 3) == 3 and sent == [missing() + 300, missing() + 200, missing() + 100]
+
+
+def test_memory_store(spark):
+    store = MemoryStore(spark)
+    assert store.load("id long").count() == 0
+    store.save(spark.range(3))
+    store.save(spark.range(5))
+    assert store.load("id long").count() == 5

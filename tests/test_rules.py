@@ -104,3 +104,62 @@ def test_empty_log(spark):
 def test_schemas_pinned():
     assert schemas.LOG.simpleString() == "struct<idx:bigint,term:bigint,key:bigint,value:string,no_op:boolean>"
     assert schemas.ENTRY.simpleString() == "struct<term:bigint,command:binary,no_op:boolean>"
+
+
+def test_sole_node_has_a_lease(spark):
+    """No peers are needed, none were heard from: the lease runs from now."""
+    nobody = spark.createDataFrame([], "peer long, sent_at long")
+    assert tuple(commit.lease(nobody, 1, 1000).first()) == (1000, 1000 + 122727, True, "ok")
+    assert commit.lease(nobody, 3, 1000).first().reason == "no quorum"
+    assert commit.lease(nobody, 1, 1000, leader=False).first().reason == "not leader"
+    assert commit.lease(nobody, 1, 1000, committed_in_term=False).first().reason == "nothing committed in term"
+
+
+def test_read_outcomes(spark):
+    reads = spark.createDataFrame([(1, False, True, 5, 2, 10), (2, True, True, 9, 2, 10), (3, True, False, 5, 2, 10), (4, True, False, 6, 2, 10), (5, True, False, 7, 2, 10), (6, True, False, 8, 2, 10)], "read_id int, leader boolean, lease boolean, idx int, term int, deadline int")
+    applied = spark.createDataFrame([(5, 2, 10), (6, 3, 4), (7, 2, 11)], "idx int, term int, applied_at int")
+    got = {r.read_id: r.outcome for r in commit.read_outcomes(reads, applied).collect()}
+    assert got == {1: "not leader", 2: "served by lease", 3: "served by barrier", 4: "deposed", 5: "too slow", 6: "too slow"}
+
+
+def test_commit_rule_without_term_gate_is_caught(spark):
+    """A leader that counts replicas of an older term's entry commits what another leader overwrites; with the gate it commits nothing."""
+    schema = "idx long, term long, key long, value string, no_op boolean"
+    old = spark.createDataFrame([(1, 1, 1, "a", False), (2, 2, 1, "b", False)], schema)
+    later = spark.createDataFrame([(1, 1, 1, "a", False), (2, 3, 1, "c", False)], schema)
+    match = spark.createDataFrame([(1, 2), (2, 2), (3, 1), (4, 1)], "peer long, match_index long")
+    gated = commit.commit_index(old, match, F.lit(4), 5).first()[0]
+    ungated = commit.quorum_index(match, old.agg(F.max("idx")), 5).first()[0]
+    everything = commit.commit_index(later, match, F.lit(3), 5).first()[0]
+    assert (gated, ungated, everything) == (0, 2, 2)
+    ledger = lambda upto: [r.idx for r in audit.commit_ledger(old.where(F.col("idx") <= upto), later.where(F.col("idx") <= everything)).collect()]
+    assert ledger(ungated) == [2] and ledger(gated) == []
+
+
+def test_union_of_clients_refuses_shared_keys(spark):
+    one = spark.createDataFrame([(1, "a")], "key long, value string")
+    assert commit.union_maps(one, spark.createDataFrame([(2, "b")], "key long, value string")).count() == 2
+    with pytest.raises(Exception, match="two clients wrote key 1"):
+        commit.union_maps(one, one).collect()
+
+
+def test_peak_and_runs_against_plain_loops(spark):
+    rng = random.Random(5)
+    spans = [(s, s + rng.randrange(1, 40)) for s in (rng.randrange(3000) for _ in range(900))]
+    intervals = spark.createDataFrame(spans, "start long, stop long").select(F.timestamp_seconds("start").alias("start"), F.timestamp_seconds("stop").alias("stop"))
+    assert audit.peak(intervals).first().peak == max(sum(a <= t < b for a, b in spans) for t in range(3100))
+    terms = [rng.randrange(3) for _ in range(2000)]
+    log = spark.createDataFrame([(i + 1, t, 0, "", False) for i, t in enumerate(terms)], "idx long, term long, key long, value string, no_op boolean")
+    want, start = [], 1
+    for i in range(1, 2001):
+        if i == 2000 or terms[i] != terms[i - 1]:
+            want.append((start, i, terms[i - 1]))
+            start = i + 1
+    assert sorted(map(tuple, repair.term_runs(log).select("run_start", "run_end", "term").collect())) == want
+
+
+def test_peer_entries_are_bounded(spark):
+    log = spark.createDataFrame([(i, 1, i, "v", False) for i in range(1, 101)], "idx long, term long, key long, value string, no_op boolean")
+    match = spark.createDataFrame([(1, 100), (2, 95), (3, 10), (4, 0), (5, 500)], "peer long, match_index long")
+    got = {r.peer: (r.next_index, [e.idx for e in r.entries]) for r in commit.peer_entries(log, match, 20).collect()}
+    assert got == {1: (101, []), 2: (96, [96, 97, 98, 99, 100]), 3: (11, list(range(11, 31))), 4: (1, list(range(1, 21))), 5: (101, [])}
