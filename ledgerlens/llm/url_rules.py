@@ -3,7 +3,7 @@
 Tokens of a URL: scheme, host labels, path segments and query keys. FP-growth mines the
 token combinations of labelled pages together with their class; rules "tokens -> class"
 stay if enough pages support them, if the lower bound (Wilson, SURENESS deviations) of their confidence
-reaches LEAST_CONFIDENCE, and if no rule with fewer of the same tokens is as sure. An inverted
+reaches LEAST_CONFIDENCE and LEAST_LIFT times the share of bad pages, and if no rule with fewer of the same tokens is as sure. An inverted
 index from a rule's rarest token to the rule matches URLs: a URL looks up its own
 tokens only, and then checks the rest of each rule found. The index is literals in the plan, in
 blocks of INDEX_BLOCK rules, so no join or shuffle is needed and no block outgrows a plan.
@@ -16,7 +16,8 @@ A page is bad if its label (doc_id = page_id) says toxic 1 or quality 0.
 
 Defined results: a null URL, or one without ://, has empty host and path, no rule and is allowed (unless mined rules match its tokens); pages
 without labels are judged alike; a page with several labels is bad if any is; without labels
-nothing is mined; repeated rows each get a row; further columns are ignored.
+nothing is mined; where labels don't depend on URLs no rule passes, and every page without a written rule is allowed; written rules
+of one length go by their order; very long URLs are taken whole; empty tables give an empty result; repeated rows each get a row; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +41,10 @@ RULES = (
 
 BAD, GOOD = "class=bad", "class=good"
 #: A rule needs this share of the labelled pages, and this number, so that small tables don't make every combination frequent.
-LEAST_SUPPORT, LEAST_PAGES, LEAST_CONFIDENCE, SURENESS = 0.002, 20, 0.5, 2.0
+LEAST_SUPPORT, LEAST_PAGES = 0.002, 20
+#: By the lower bound of its confidence (SURENESS deviations), a page with its tokens must be bad so likely, and so many times as
+#: likely as any page; and it has few tokens.
+LEAST_CONFIDENCE, LEAST_LIFT, SURENESS, MOST_TOKENS = 0.5, 1.5, 2.0, 4
 INDEX_BLOCK = 500
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -79,24 +83,23 @@ def bad_pages(labels: DataFrame) -> DataFrame:
     )
 
 
-def mine(pages: DataFrame, labels: DataFrame, least_support: float = LEAST_SUPPORT, least_confidence: float = LEAST_CONFIDENCE) -> list[tuple[list[str], float, float]]:
-    """(tokens, confidence, support) of the rules for the bad class. Their number is bounded by the least support, whatever the number of pages."""
+def mine(pages: DataFrame, labels: DataFrame, least_support: float = LEAST_SUPPORT, least_lift: float = LEAST_LIFT) -> list[tuple[list[str], float, float]]:
+    """(tokens, confidence, support) of the rules for the bad class, of up to MOST_TOKENS tokens.
+
+    A rule holds if, by the lower bound of its confidence, a page with its tokens is bad with LEAST_CONFIDENCE, and `least_lift` times as likely as any page. Weak
+    rules go before anything comes to the driver; how many can be left is bounded by the least support, whatever the number of pages.
+    """
     seen = pages.select(F.col("page_id").cast("long").alias("page_id"), "url").join(bad_pages(labels), "page_id")
     items = seen.select(F.concat(url_tokens(F.col("url")), F.array(F.when(F.col("bad") == 1, BAD).otherwise(GOOD))).alias("items"))
-    n = items.count()
-    if not n:
+    n, n_bad = items.agg(F.count("*"), F.count_if(F.array_contains("items", BAD))).first()
+    if not n_bad:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(least_support, LEAST_PAGES / n)), minConfidence=least_confidence).fit(items)
-    found = model.associationRules.where((F.element_at("consequent", 1) == BAD) & ~F.exists("antecedent", lambda x: x == GOOD))
-    rows = found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").collect()
-    sure = []
-    for r in rows:
-        times = r.support * n / r.confidence  # pages with the tokens
-        z2 = SURENESS * SURENESS
-        low = (r.confidence + z2 / (2 * times) - SURENESS * ((r.confidence * (1 - r.confidence) + z2 / (4 * times)) / times) ** 0.5) / (1 + z2 / times)
-        if low >= least_confidence:
-            sure.append((list(r.tokens), r.confidence, r.support))
-    return without_redundant(sure)
+    least = min(1.0, max(LEAST_CONFIDENCE, least_lift * n_bad / n))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(least_support, LEAST_PAGES / n)), minConfidence=least).fit(items)
+    z2, confidence, times = SURENESS * SURENESS, F.col("confidence"), F.col("support") * n / F.col("confidence")  # pages with the tokens
+    low = (confidence + z2 / (2 * times) - SURENESS * F.sqrt((confidence * (1 - confidence) + z2 / (4 * times)) / times)) / (1 + z2 / times)
+    found = model.associationRules.where((F.element_at("consequent", 1) == BAD) & ~F.exists("antecedent", lambda x: x == GOOD) & (F.size("antecedent") <= MOST_TOKENS) & (low >= least))
+    return without_redundant([(list(r.tokens), r.confidence, r.support) for r in found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").collect()])
 
 
 def without_redundant(rules: list[tuple[list[str], float, float]]) -> list[tuple[list[str], float, float]]:

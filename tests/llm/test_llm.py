@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlens.llm import attention_lm, decontamination, media, near_dedup, registry, sentencepiece_lattice, sharding, simhash, token_counts, toxicity, url_rules
+import __spark_entry__ as entry
+from ledgerlens.llm import attention_lm, decontamination, media, near_dedup, quality, registry, sentencepiece_lattice, sharding, simhash, token_counts, toxicity, url_rules
 from ledgerlens.llm.linear import Rows
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -37,14 +38,186 @@ def empty(spark, tmp_path_factory, edge):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+LLM = {k: f for k, f in entry.queries().items() if k == "pipeline" or k in registry.queries()}
+
+
+@pytest.mark.parametrize("name", sorted(LLM))
 def test_edge_and_empty_tables(spark, edge, empty, name):
-    rows = registry.queries()[name](spark, edge).collect()
+    rows = LLM[name](spark, edge).collect()
     if name == "pipeline":
         assert 1 <= len(rows) < 11
     else:
         assert len(rows) == (6 if name.startswith("op9") else 11)
-    assert registry.queries()[name](spark, empty).count() == 0
+    assert LLM[name](spark, empty).count() == 0
+    if name in VALUES:
+        texts = {(r.doc_id, r.text) for r in spark.read.parquet(f"{edge}/documents.parquet").collect()}
+        VALUES[name](rows, texts)
+
+
+def by_id(rows):
+    found = {}
+    for r in rows:
+        found.setdefault(r[0], []).append(r)
+    return found
+
+
+def words_of(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+
+
+def check_scores(rows, texts):
+    of = by_id(rows)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) or r.predicted == (r.score >= 0.5) for r in rows)
+    assert of[6][0].score == of[6][1].score and of[1][0].score == of[8][0].score
+
+
+def check_lm(rows, texts):
+    of = by_id(rows)
+    assert [r.n_tokens for r in of[2]] == [1] and of[3][0].n_tokens == 1 and of[7][0].n_tokens == 1 and of[5][0].n_tokens == 30_001
+    assert of[6][0].score == of[6][1].score and of[2][0].score == of[3][0].score and all(np.isfinite(r.score) for r in rows)
+
+
+def check_simhash(rows, texts):
+    import xxhash
+
+    def fingerprint(text, k=3):
+        w = words_of(text)
+        parts = [b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
+        h = [xxhash.xxh64_intdigest(x, 42) for x in parts]
+        return f"{sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)):016x}" if h else "0" * 16
+
+    assert sorted((str(r.doc_id), r.fingerprint) for r in rows) == sorted([*((str(i), fingerprint(t)) for i, t in texts), ("6", fingerprint("x"))])
+    of = by_id(rows)
+    assert of[8][0].component_id == 1 and of[2][0].component_id == of[3][0].component_id == of[7][0].component_id == 2
+
+
+def check_sharding(rows, texts):
+    import zlib
+
+    want = sorted([*((str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in texts), ("6", 2, zlib.crc32(b"x"))])
+    assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in rows) == want
+
+
+def check_media(rows, texts):
+    import zlib
+
+    of = by_id(rows)
+    for i, t in texts:
+        if i is None:
+            continue
+        raw = (t or "").encode()
+        padded = raw + bytes(-len(raw) % 64 if raw else 64)
+        for r in of[i]:
+            assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+    assert of[1][0][1:] == of[8][0][1:] and of[2][0][1:] == of[3][0][1:] and all(r.media_bytes > r.payload_bytes for r in rows)
+
+
+def check_leaks(rows, texts):
+    of = by_id(rows)
+    none, x = hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest()
+    assert tuple(of[1][0])[1:] == (11, 10, 1, hashlib.sha256(b"0").hexdigest(), True) == tuple(of[8][0])[1:]
+    assert tuple(of[6][0])[1:] == (1, 1, 1, x, True) and tuple(of[2][0])[1:] == (0, 0, 0, none, False) == tuple(of[7][0])[1:]
+
+
+def check_tokens(rows, texts):
+    import public_tokenizers
+    import tokenizers
+
+    model = tokenizers.Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    want = sorted((str(i), len((t or "").encode()), len(model.encode(t or "", add_special_tokens=False).ids)) for i, t in [*texts, (6, "x")])
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in rows) == want and all(r.over_limit == (r.n_tokens > 1024) for r in rows)
+
+
+def check_urls(rows, texts):
+    of = by_id(rows)
+    assert tuple(of[1][0])[1:] == ("a.example.com", "/en/7", "example.com/en/7", "allow") and tuple(of[5][0])[1:] == ("example.net", "/de/81", "example.net/de/8", "block")
+    assert tuple(of[2][0])[1:] == ("", "", None, "allow") == tuple(of[None][0])[1:] and [tuple(r)[1:] for r in of[4]] == [("de", "", None, "allow")] * 2
+
+
+def check_pipeline(rows, texts):
+    assert {r.doc_id for r in rows} <= {i for i, _ in texts} and len([r for r in rows if r.doc_id == 6]) <= 1
+    assert all(not set(words_of(r.text)) or b" ".join(words_of(r.text)).find(b"one two three four five six seven eight nine ten") < 0 for r in rows)
+
+
+VALUES = {
+    "op2_quality": check_scores, "op3_lm_score": check_lm, "op4_simhash": check_simhash, "op5_toxicity": check_scores, "op6_sharding": check_sharding, "op7_media_columns": check_media,
+    "op8_decontamination": check_leaks, "op9_url_rules": check_urls, "op10_token_counts": check_tokens, "pipeline": check_pipeline,
+}
+
+
+def test_views_need_no_metadata(spark):
+    """Documents without lang and source columns: fitted, scored and filtered all the same."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    assert 0 < quality.keep_good(docs, labels).count() <= docs.count()
+
+
+def test_one_round_of_co_training():
+    """Each view's sure pseudo-labels go to the other view's set, once each, and the refitted models use them."""
+    rng = np.random.default_rng(2)
+    y = np.array([0, 1] * 20)
+    pack = lambda x: Rows(np.concatenate(x), np.array([len(r) for r in x]))
+    views = [pack([np.array([c, 2 + rng.integers(3)], np.int64) for c in y]) for _ in range(2)]
+    given = np.array([0, 5], "<i4").tobytes()
+    calls = []
+
+    def hand_over(models, share, turn):
+        calls.append([w.copy() for w, _ in models])
+        return [(0, 1, given), (0, 1, given)]
+
+    views[1] = Rows(np.append(views[1].ids, 5), np.append(views[1].lengths[:-1], views[1].lengths[-1] + 1))
+    models = quality.co_train(views, y, np.arange(40), hand_over, 1)
+    alone = quality.fit_logistic(views[0], y.astype(float), 5)
+    assert len(calls) == 1 and np.allclose(models[0][0], alone[0]) and np.allclose(calls[0][0], alone[0])
+    more = Rows(np.append(views[1].ids, [0, 5]), np.append(views[1].lengths, 2))
+    assert np.allclose(models[1][0], quality.fit_logistic(more, np.append(y, 1.0), 6)[0])
+
+
+def test_nnpu_errors_are_the_risk_gradient():
+    """By differences of the risk, on both sides of the non-negative bound."""
+    rng = np.random.default_rng(4)
+    zp, zu, prior = rng.normal(size=6), rng.normal(size=9), 0.3
+    share = np.full(9, 1 / 9)
+
+    def risk(zp, zu):
+        loss = lambda z: np.logaddexp(0, z)
+        return prior * loss(-zp).mean() + share @ loss(zu) - prior * loss(zp).mean()
+
+    ep, eu = toxicity.nnpu_errors(zp, zu, share, prior, 6)
+    step = lambda z, i, e: np.where(np.arange(len(z)) == i, z + e, z)
+    for i in range(6):
+        assert abs((risk(step(zp, i, 1e-5), zu) - risk(step(zp, i, -1e-5), zu)) / 2e-5 - ep[i]) < 1e-6
+    for i in range(9):
+        assert abs((risk(zp, step(zu, i, 1e-5)) - risk(zp, step(zu, i, -1e-5))) / 2e-5 - eu[i]) < 1e-6
+    ep, eu = toxicity.nnpu_errors(zp + 9, zu - 9, share, prior, 6)  # the negative part is below zero: up its gradient
+    assert (ep > 0).all() and (eu < 0).all()
+
+
+def test_rules_against_a_plain_miner(spark):
+    """Every combination of up to four tokens, counted one by one."""
+    import itertools
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(1200):
+        host, section = rng.choice(["aa", "bb", "cc"]), rng.choice(["ads", "news", "blog"])
+        rows.append((i, f"http://{host}.com/{section}/x{rng.randrange(4)}", int(rng.random() < (0.8 if (host, section) == ("aa", "ads") else 0.6 if section == "blog" and host == "bb" else 0.1))))
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - bad, 0) for i, _, bad in rows], "doc_id long, quality int, toxic int")
+    tokens = {r.page_id: r.t for r in pages.select("page_id", url_rules.url_tokens(F.col("url")).alias("t")).collect()}
+    times, bad_times = {}, {}
+    for i, _, bad in rows:
+        for k in range(1, url_rules.MOST_TOKENS + 1):
+            for c in itertools.combinations(sorted(tokens[i]), k):
+                times[c] = times.get(c, 0) + 1
+                bad_times[c] = bad_times.get(c, 0) + bad
+    n, least = len(rows), max(url_rules.LEAST_CONFIDENCE, url_rules.LEAST_LIFT * sum(r[2] for r in rows) / len(rows))
+    z2 = url_rules.SURENESS**2
+    low = lambda p, m: (p + z2 / (2 * m) - z2**0.5 * ((p * (1 - p) + z2 / (4 * m)) / m) ** 0.5) / (1 + z2 / m)
+    sure = {c: bad_times[c] / m for c, m in times.items() if bad_times[c] >= max(url_rules.LEAST_SUPPORT * n, url_rules.LEAST_PAGES) and low(bad_times[c] / m, m) >= least}
+    want = [c for c, p in sure.items() if not any(set(o) < set(c) and q >= p for o, q in sure.items())]
+    got = [tuple(r[0]) for r in url_rules.mine(pages, labels)]
+    assert want and sorted(got) == sorted(want)
 
 
 def test_decontamination_sql(spark, duck):
@@ -361,7 +534,8 @@ def test_nnpu_finds_positives():
         return [np.unique(np.append(rng.integers(10, 200, 20), rng.integers(0, 3, 2) if t else [])).astype(np.int64) for t in (rng.random(n) < toxic)]
 
     pack = lambda x: Rows(np.concatenate(x), np.array([len(r) for r in x]))
-    w, b = toxicity.fit_nnpu(pack(rows(300, 1.0)), pack(rows(2000, 0.1)), 0.1, 200)
+    *w, b = toxicity.fit_nnpu(pack(rows(300, 1.0)), pack(rows(2000, 0.1)), np.ones(2000), 0.1, 200)
+    w = np.array(w)
     assert w[:3].min() > 2 and (pack(rows(200, 1.0)).logits(w, b) > 0).mean() > 0.9 and (pack(rows(500, 0.0)).logits(w, b) > 0).mean() < 0.05
 
 
