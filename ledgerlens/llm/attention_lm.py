@@ -34,7 +34,6 @@ further columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -47,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import by_bytes, ensure_checkpoint_dir, keyed_text, ragged, ranges, read, strings
+from ledgerlens.llm.common import by_bytes, keyed_text, ragged, ranges, read, shared_table, strings
 from ledgerlens.llm.linear import fold
 
 WINDOW, STRIDE = 16, 12
@@ -557,15 +556,6 @@ def listed(sliced: DataFrame) -> DataFrame:
     return sliced.groupBy("slice").applyInArrow(count, "slice long, word string, n long")
 
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder as Parquet and read again."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, network_score of every row."""
     docs = keyed_text(docs, id_col, text_col)

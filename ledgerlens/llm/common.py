@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,6 +44,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_table(df: DataFrame) -> DataFrame:
+    """df, written to the shared checkpoint folder as Parquet and read again."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now; it does so when the driver collects its garbage, which a long job may not for hours."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text) alone, so that further columns of any name can't clash; null text is empty."""
     return df.select(

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import by_bytes, cut, texts_of
+from ledgerlens.llm.common import by_bytes, cut, free_shuffles, shared_table, texts_of
 from ledgerlens.llm.simhash import components, links, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -152,9 +152,8 @@ def open_items(bands: DataFrame, root: DataFrame) -> DataFrame:
     return some.groupBy("item").agg(*[F.first(c).alias(c) for c in ("s0", "s1", "k", "root")], F.max(F.col("root") != F.col("main.root")).alias("outside"))
 
 
-def clusters(members: DataFrame, items: DataFrame) -> DataFrame:
-    """(node, root) of the members that a chain of shared rare shingles joins: only these can hold pairs at SIMILARITY."""
-    texts = items.join(members.select("item"), "item", "left_semi").dropDuplicates(["item"])
+def clusters(texts: DataFrame) -> DataFrame:
+    """(node, root) of the members (item, text) that a chain of shared rare shingles joins: only these can hold pairs at SIMILARITY."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(ORDER_BUCKETS, np.int64)
@@ -167,7 +166,7 @@ def clusters(members: DataFrame, items: DataFrame) -> DataFrame:
     times = np.zeros(ORDER_BUCKETS, np.int64)
     sums = texts.mapInArrow(counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     times[np.asarray(sums["bucket"])] = np.asarray(sums["n"])
-    shared = items.sparkSession.sparkContext.broadcast(times)
+    shared = texts.sparkSession.sparkContext.broadcast(times)
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
@@ -185,7 +184,7 @@ def clusters(members: DataFrame, items: DataFrame) -> DataFrame:
     return components(rows.join(first, "shingle").select("item", "first").distinct(), "item", "first")
 
 
-def joined(members: DataFrame, cluster: DataFrame, items: DataFrame) -> DataFrame:
+def joined(members: DataFrame, cluster: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): the similar pairs of members of one cluster and of different components, one of them outside.
 
     The outside items of a cluster meet all its items, in tiles of about TILE by TILE; a tile gives its links alone.
@@ -199,7 +198,6 @@ def joined(members: DataFrame, cluster: DataFrame, items: DataFrame) -> DataFram
     left = rows.where("outside").select("cluster", own("down").alias("row"), every("across").alias("column"), *rest, F.lit(True).alias("left"))
     right = rows.select("cluster", every("down").alias("row"), own("across").alias("column"), *rest, F.lit(False).alias("left"))
     tile = ["cluster", "row", "column"]
-    texts = items.join(members.select("item"), "item", "left_semi").dropDuplicates(["item"])
     dealt = left.unionByName(right).join(texts, "item").select(*tile, *rest, "left", "text").repartition(*tile).sortWithinPartitions(*tile)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,11 +254,9 @@ def marked(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     return pairs.join(marks("a"), "a").join(marks("b"), "b").select("a", "b", "marks_a", "marks_b").mapInArrow(agree, "a binary, b binary")
 
 
-def verified(pairs: DataFrame, items: DataFrame, sketched: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole texts are similar enough, each once. Only texts of paired items are dealt out."""
+def verified(pairs: DataFrame, texts: DataFrame, sketched: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole texts (one row an item) are similar enough, each once."""
     pairs = cut(marked(pairs.distinct(), sketched))
-    some = pairs.select(F.col("a").alias("item")).union(pairs.select("b")).distinct()
-    texts = items.join(some, "item", "left_semi").dropDuplicates(["item"])
     both = pairs.join(texts.select(F.col("item").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("item").alias("b"), F.col("text").alias("text_b")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,14 +269,25 @@ def verified(pairs: DataFrame, items: DataFrame, sketched: DataFrame) -> DataFra
 
 def groups(items: DataFrame) -> DataFrame:
     """(node, root) of the items (item, text; equal rows allowed) that are linked to another."""
+    spark = items.sparkSession
     sketched = cut(sketches(items).dropDuplicates(["item"]))
     bands = cut(shared_bands(sketched))
-    near = cut(verified(block_pairs(sketched).union(band_pairs(bands)).union(hub_pairs(bands)), items, sketched))
+    blocks = cut(block_pairs(sketched).distinct())
+    # Texts are dealt out once, and only those that share a band or a block with another.
+    some = bands.select("item").union(blocks.select("a")).union(blocks.select("b")).distinct()
+    texts = shared_table(items.join(some, "item", "left_semi").dropDuplicates(["item"]))
+    free_shuffles(spark)
+    near = cut(verified(blocks.union(band_pairs(bands)).union(hub_pairs(bands)), texts, sketched))
+    free_shuffles(spark)
     root = cut(components(near))
     members = cut(open_items(bands, root))
+    free_shuffles(spark)
     if members.isEmpty():
         return root
-    more = cut(joined(members, clusters(members, items), items))
+    own = shared_table(texts.join(members.select("item"), "item", "left_semi"))
+    cluster = cut(clusters(own))
+    free_shuffles(spark)
+    more = cut(joined(members, cluster, own))
     return root if more.isEmpty() else cut(components(near.union(more)))
 
 
