@@ -46,6 +46,8 @@ TO_WORDS = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
 WORD = re.compile(rb"[^ ]+")
+#: An odd multiplier that mixes the hashes of windows.
+HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Ids(dict):
@@ -56,25 +58,56 @@ class _Ids(dict):
 
 
 class Phrases:
-    """The distinct windows of a block of benchmark items."""
+    """The distinct windows of a block of benchmark items, in flat arrays.
+
+    A phrase is a place in the words of all items, and a length. Windows of equal hash are one phrase if they are equal word for word.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.ids = _Ids()
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        self.items = sorted({item for item, _ in items})
+        number = {item: i for i, item in enumerate(self.items)}
+        texts, owner = [np.zeros(0, np.int32)], []
         for item, text in items:
             words = text.translate(TO_WORDS).split()
-            # Symbol 0 ends the text, 1 parts the runs.
-            symbols = [self.ids.setdefault(w, len(self.ids) + 2) for w in words]
-            for i in range(max(1, len(symbols) - window + 1) if symbols else 0):
-                owners[tuple(symbols[i : i + window])].add(item)
-        found = sorted(owners)
+            if words:
+                # Symbol 0 ends the text, 1 parts the runs.
+                texts.append(np.fromiter((self.ids.setdefault(w, len(self.ids) + 2) for w in words), np.int32, len(words)))
+                owner.append(number[item])
         self.n_symbols = len(self.ids) + 2
-        self.lengths = np.array([len(p) for p in found], np.int64)
-        self.shortest = int(self.lengths.min()) if found else 0
-        self.words = np.ones((len(found), window), np.int64)
-        for i, p in enumerate(found):
-            self.words[i, : len(p)] = p
-        self.owners = [sorted(owners[p]) for p in found]
+        self.symbols = np.concatenate(texts)
+        n_words = np.fromiter(map(len, texts[1:]), np.int64, len(owner))
+        count = np.maximum(1, n_words - window + 1)
+        start = ranges(ragged(n_words)[0], count)
+        length = np.repeat(np.minimum(n_words, window), count)
+        phrase, first = self._distinct(start, length, window)
+        self.starts, self.lengths = start[first].astype(np.int32), length[first].astype(np.int32)
+        self.shortest = int(self.lengths.min()) if len(first) else 0
+        pairs = np.unique(phrase * max(1, len(self.items)) + np.repeat(np.array(owner, np.int64), count))
+        phrase, owner = np.divmod(pairs, max(1, len(self.items)))
+        self.owner, self.owner_at = owner.astype(np.int32), np.append(0, np.cumsum(np.bincount(phrase, minlength=len(first))))
+
+    def _distinct(self, start: np.ndarray, length: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """The phrase of each window, and a window of each phrase."""
+        h = length.astype(np.uint64)
+        for k in range(window):
+            live = length > k
+            h[live] = (h[live] + self.symbols[start[live] + k].astype(np.uint64)) * HASH
+            h ^= h >> np.uint64(29)
+        _, first, phrase = np.unique(h, return_index=True, return_inverse=True)
+        other = first[phrase]
+        equal = length[other] == length
+        for k in range(window):
+            live = np.flatnonzero(equal & (length > k))
+            equal[live] = self.symbols[start[live] + k] == self.symbols[start[other[live]] + k]
+        # Unequal windows of one hash each are a phrase of their own.
+        apart = np.flatnonzero(~equal)
+        phrase[apart] = len(first) + np.arange(len(apart))
+        return phrase, np.concatenate([first, apart])
+
+    def owners(self, phrase: int) -> list[str]:
+        """The items that have a phrase."""
+        return [self.items[i] for i in self.owner[self.owner_at[phrase] : self.owner_at[phrase + 1]]]
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -137,13 +170,13 @@ class FMIndex:
         self.sample_at = np.concatenate([[0], np.cumsum(self.sampled)])
         self.samples = order[self.sampled]
 
-    def search(self, words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(phrase, from row, to row) of the phrases that occur."""
+    def search(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(phrase, from row, to row) of the phrases that occur; a phrase is so many of the words from a start on."""
         live = np.arange(len(lengths))
         low, high = np.zeros(len(live), np.int64), np.full(len(live), self.n, np.int64)
         for back in range(1, int(lengths.max()) + 1):
             step = lengths[live] >= back
-            symbol = words[live[step], lengths[live[step]] - back]
+            symbol = words[starts[live[step]] + lengths[live[step]] - back]
             start = self.first[symbol]
             both = self.tree.rank(np.concatenate([symbol, symbol]), np.concatenate([low[step], high[step]]))
             low[step], high[step] = start + both[: len(symbol)], start + both[len(symbol) :]
@@ -190,7 +223,7 @@ def occurrences(texts: list[bytes], phrases: Phrases) -> tuple[np.ndarray, np.nd
     text[ranges(at, long)] = symbols[ranges(run, long)]
     text[-1] = 0
     index = FMIndex(text, phrases.n_symbols)
-    live, low, high = index.search(phrases.words, phrases.lengths)
+    live, low, high = index.search(phrases.symbols, phrases.starts, phrases.lengths)
     count = high - low
     place = index.locate(ranges(low, count))
     phrase = np.repeat(live, count)
@@ -250,7 +283,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 items: dict[int, set[str]] = defaultdict(set)
                 pairs = np.unique(doc * len(phrases.lengths) + phrase) if len(doc) else np.zeros(0, np.int64)
                 for d, p in zip(*(x.tolist() for x in np.divmod(pairs, max(1, len(phrases.lengths)))), strict=True):
-                    items[d].update(phrases.owners[p])
+                    items[d].update(phrases.owners(p))
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [

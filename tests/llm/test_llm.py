@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -251,13 +252,36 @@ def test_blocks_cut_as_one(spark, monkeypatch):
     assert results[0] == results[1] == [(0, "a b c", 5), (1, "a b", 3), (2, "clean", 5), (3, None, 0)]
 
 
+def test_phrases_brute_force(monkeypatch):
+    """Distinct windows and their items, also where every window has one hash."""
+    rng = random.Random(8)
+    items = [(f"i{rng.randrange(12)}", " ".join(rng.choices("abc", k=rng.choice([0, 1, 3, 9, 10, 11, 25]))).encode()) for _ in range(40)]
+    items += [("twice", items[-1][1]), ("other", b"A b; c")]
+    want: dict[tuple[bytes, ...], set[str]] = {}
+    for item, text in items:
+        words = re.findall(rb"[a-z0-9]+", text.lower())
+        for i in range(max(1, len(words) - 9) if words else 0):
+            want.setdefault(tuple(words[i : i + 10]), set()).add(item)
+    for odd in (decontamination.HASH, np.uint64(0)):
+        monkeypatch.setattr(decontamination, "HASH", odd)
+        phrases = decontamination.Phrases(items)
+        word = {n: w for w, n in phrases.ids.items()}
+        got: dict[tuple[bytes, ...], set[str]] = {}
+        for i, (at, n) in enumerate(zip(phrases.starts.tolist(), phrases.lengths.tolist(), strict=True)):
+            got.setdefault(tuple(word[x] for x in phrases.symbols[at : at + n].tolist()), set()).update(phrases.owners(i))
+        assert got == want
+        assert odd == 0 or len(phrases.lengths) == len(want)
+        assert phrases.shortest == 1
+    assert len(decontamination.Phrases([]).lengths) == len(decontamination.Phrases([("a", b"; .")]).lengths) == 0
+
+
 def test_fm_index_brute_force():
     rng = np.random.default_rng(0)
     text = np.append(rng.integers(2, 5, 400), 0)
     index = decontamination.FMIndex(text, 5)
     words = rng.integers(2, 5, (30, 6))
     lengths = rng.integers(1, 7, 30)
-    live, low, high = index.search(words, lengths)
+    live, low, high = index.search(words.ravel(), np.arange(0, 180, 6), lengths)
     found = {int(p): sorted(index.locate(np.arange(a, b)).tolist()) for p, a, b in zip(live, low, high)}
     for p in range(30):
         w = words[p, : lengths[p]]
