@@ -27,6 +27,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,11 @@ from ledgerlens.llm.common import by_bytes, keyed_text, ragged, ranges, read, st
 
 MARK = "▁"
 SEED, THETA = 7, 1.0
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Edges of distinct segments that a task keeps; the lattice starts anew beyond it.
 KEPT_EDGES = 4_000_000
+#: Characters of new segments that are filtered at once, which bounds what filtering takes besides the lattice.
+ADDED_CHARS = 128 << 10
 SEGMENT = re.compile(r"\n[^ \n]*| *[^ \n]+| +")
 #: Stands for a space that isn't there, before a new line, while Arrow cuts at spaces.
 CUT = "\x01"
@@ -146,6 +149,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def parts_of(segments: list[str], most: int) -> Iterator[list[str]]:
+    """The segments, the longest first, in lists of about `most` characters and at least one segment."""
+    segments = sorted(segments, key=len, reverse=True)
+    part = np.fromiter(accumulate(map(len, segments)), np.int64, len(segments)) // most
+    cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(segments)).tolist()
+    for at, to in zip(cuts, cuts[1:], strict=False):
+        yield segments[at:to]
+
+
+class Growing:
+    """An array that is added to in place; `held` has room beyond `size`, which takes no memory until it is written."""
+
+    def __init__(self, dtype: type):
+        self.held, self.size = np.empty(1 << 16, dtype), 0
+
+    def add(self, more: np.ndarray) -> None:
+        to = self.size + len(more)
+        if to > len(self.held):
+            old, self.held = self.held, np.empty(max(to, 2 * len(self.held)), self.held.dtype)
+            self.held[: self.size] = old[: self.size]
+        self.held[self.size : to] = more
+        self.size = to
+
+
 class Lattice:
     """The lattices of distinct segments: edges by the node they end at, and how likely each is the last.
 
@@ -154,19 +181,24 @@ class Lattice:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
+        self.start, self.end, self.first_edge = Growing(np.int32), Growing(np.int32), Growing(np.int32)
+        self.source, self.piece, self.up_to = Growing(np.int32), Growing(np.int32), Growing(np.float64)
+        self.forget()
+
+    def forget(self) -> None:
         self.index: dict[str, int] = {}
-        none = np.zeros(0, np.int64)
-        self.start, self.end, self.first_edge = none, none, none
-        self.source, self.piece, self.up_to = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)
+        for x in (self.start, self.end, self.first_edge, self.source, self.piece, self.up_to):
+            x.size = 0
 
     def numbers(self, segments: list[str]) -> np.ndarray:
         """Where each distinct segment is in the lattice; new ones are added."""
         new = [s for s in segments if s not in self.index]
         if new:
-            if len(self.source) > KEPT_EDGES:
-                self.__init__(self.pieces)
+            if self.source.size > KEPT_EDGES:
+                self.forget()
                 new = segments
-            self.add(new)
+            for part in parts_of(new, ADDED_CHARS):
+                self.add(part)
         return np.fromiter(map(self.index.__getitem__, segments), np.int64, len(segments))
 
     def add(self, segments: list[str]) -> None:
@@ -234,33 +266,33 @@ class Lattice:
             step += 1
             on, count = on[count > step] + 1, count[count > step]
         share[heads + each - 1] = 2.0
-        nodes, edges = len(self.first_edge), len(self.source)
-        self.index.update(zip(segments, range(len(self.start), len(self.start) + len(segments)), strict=True))
-        self.start = np.concatenate([self.start, nodes + np.arange(len(segments))])
-        self.end = np.concatenate([self.end, nodes + level[lengths] + np.arange(len(segments))])
-        self.first_edge = np.concatenate([self.first_edge, edges + edge_of])
-        self.source = np.concatenate([self.source, (nodes + source).astype(np.int32)])
-        self.piece = np.concatenate([self.piece, piece.astype(np.int32)])
-        self.up_to = np.concatenate([self.up_to, share])
+        nodes, edges, known = self.first_edge.size, self.source.size, self.start.size
+        self.index.update(zip(segments, range(known, known + len(segments)), strict=True))
+        self.start.add(nodes + np.arange(len(segments)))
+        self.end.add(nodes + level[lengths] + np.arange(len(segments)))
+        self.first_edge.add(edges + edge_of)
+        self.source.add(nodes + source)
+        self.piece.add(piece)
+        self.up_to.add(share)
 
     def sample(self, segment: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The sampled edges of each occurrence in order, and how many each has."""
-        at, start, live = self.end[segment], self.start[segment], np.arange(len(segment))
+        at, start, live = self.end.held[segment], self.start.held[segment], np.arange(len(segment))
         taken, counts = [], np.zeros(len(segment), np.int64)
         while len(live):
             step = np.uint64(len(taken) * 0x9E3779B97F4A7C15 % 2**64)
             u = (mix(seeds[live] + step) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = self.first_edge[at]
-            over = np.flatnonzero(u >= self.up_to[edge])
+            edge = self.first_edge.held[at]
+            over = np.flatnonzero(u >= self.up_to.held[edge])
             while len(over):
                 edge[over] += 1
-                over = over[u[over] >= self.up_to[edge[over]]]
+                over = over[u[over] >= self.up_to.held[edge[over]]]
             taken.append((live, edge))
             counts[live] += 1
-            at = self.source[edge]
+            at = self.source.held[edge]
             going = at != start[live]
             live, at = live[going], at[going]
-        out = np.empty(int(counts.sum()), np.int64)
+        out = np.empty(int(counts.sum()), np.int32)
         ends = np.cumsum(counts)
         for i, (who, edge) in enumerate(taken):
             out[ends[who] - 1 - i] = edge
@@ -276,7 +308,7 @@ def encode(texts: pa.Array, keys: list, lattice: Lattice, seed: int = SEED) -> t
     row = np.array([xxhash.xxh64_intdigest(repr(k), seed) for k in keys], np.uint64)
     seeds = mix(row[owner] + (np.arange(len(owner)) - first[owner]).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
     edges, counts = lattice.sample(segment, seeds)
-    ids = lattice.piece[edges].astype(np.int64)
+    ids = lattice.piece.held[edges].astype(np.int64)
     per_text = np.add.reduceat(np.append(counts, 0), first) if len(first) else counts
     lone = np.flatnonzero(ids < 0)
     if len(lone):  # characters written as bytes

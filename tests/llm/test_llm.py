@@ -457,6 +457,27 @@ def test_pieces_lossless_and_reproducible(spark):
     assert one.select("doc_id", "pieces").exceptAll(other.select("doc_id", "pieces")).count() == 0
 
 
+def test_pieces_take_little_memory():
+    """New segments are filtered part by part: what that takes beyond the lattice that is kept doesn't grow with them, nor do the draws change."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(100_000))
+    lattice = sentencepiece_lattice.Lattice(sentencepiece_lattice.vocabulary(sentencepiece_lattice.default_model(), 1.0))
+    words = [" " + w for w in dict.fromkeys(text.split())]
+    tracemalloc.start()
+    lattice.numbers(words)
+    kept, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most - kept < 40_000_000
+    whole = sentencepiece_lattice.Lattice(lattice.pieces)
+    whole.add(words)
+    whole.index = {w: whole.index[w] for w in words}
+    seeds = sentencepiece_lattice.mix(np.arange(len(words), dtype=np.uint64))
+    got = [(x.piece.held[edges].tolist(), each.tolist()) for x in (lattice, whole) for edges, each in [x.sample(x.numbers(words), seeds)]]
+    assert got[0] == got[1]
+
+
 def test_piece_distribution():
     """Samples of one word against all its segmentations."""
     pieces = sentencepiece_lattice.vocabulary(sentencepiece_lattice.default_model(), 1.0)
