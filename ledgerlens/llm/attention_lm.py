@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import by_bytes, keyed_text, ragged, ranges, read, shared_table, strings
+from ledgerlens.llm.common import by_bytes, free_shuffles, keyed_text, ragged, ranges, read, shared_table, strings
 from ledgerlens.llm.linear import fold
 
 WINDOW, STRIDE = 16, 12
@@ -70,7 +70,23 @@ SHAPES = {
     "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "wm": (CLASSES, HIDDEN, MEMBERS), "bm": (CLASSES, MEMBERS),
 }
 MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 SCALE = np.float32(1 / math.sqrt(WIDTH))
+#: Logits up to this size need no shift in float32.
+CEILING = np.float32(60)
+
+
+def within(logits: np.ndarray) -> bool:
+    return not logits.size or bool(logits.max() <= CEILING and logits.min() >= -CEILING)
+
+
+def softmax(logits: np.ndarray) -> np.ndarray:
+    """Of each row, in place; rows are shifted by their maximum only where that is needed."""
+    if not within(logits):
+        logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
+    return logits
 
 
 @lru_cache(maxsize=1)
@@ -136,82 +152,82 @@ class Network:
         net.bm[...] = by_class - net.bc[:, None]
         return net
 
-    def hidden(self, x_in: np.ndarray):
-        """x_in: (windows, WINDOW) slots. Gives the hidden state of each place, and what backward needs."""
+    def attention(self, x_in: np.ndarray):
+        """x_in: (windows, WINDOW) slots. Gives the states of all places, the weights for queries (scaled), keys and values side by side, these three, and attention and its output."""
         b = len(x_in)
-        x = self.emb[x_in] + self.pos
-        flat = x.reshape(-1, WIDTH)
-        q, k, v = ((flat @ w).reshape(b, WINDOW, WIDTH) for w in (self.wq, self.wk, self.wv))
+        x = (self.emb.take(x_in, axis=0) + self.pos).reshape(-1, WIDTH)
+        weights = np.hstack([self.wq * SCALE, self.wk, self.wv])
+        q, k, v = ((x @ weights).reshape(b, WINDOW, 3 * WIDTH)[:, :, i : i + WIDTH] for i in (0, WIDTH, 2 * WIDTH))
         a = np.matmul(q, k.transpose(0, 2, 1))
-        a *= SCALE
-        a += MASK
-        a -= a.max(axis=2, keepdims=True)
+        if not within(a):
+            a += MASK
+            a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        z = np.concatenate([x, np.matmul(a, v)], axis=2).reshape(-1, 2 * WIDTH)
-        return np.maximum(z @ self.w1 + self.b1, 0), (x, q, k, v, a, z)
+        a *= CAUSAL
+        a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(b, WINDOW, 1)
+        return x, weights, q, k, v, a, np.matmul(a, v).reshape(-1, WIDTH)
 
     def scorer(self) -> Scorer:
         return Scorer(self)
 
     def gradient(self, x_in: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
         """Of the mean loss over the places with weight 1."""
-        grad = Network(np.zeros_like(self.flat))
-        h, (x, q, k, v, a, z) = self.hidden(x_in)
+        grad = Network(np.zeros(len(self.flat), self.flat.dtype))
+        x, weights, q, k, v, a, o = self.attention(x_in)
         t, w = target.reshape(-1), weight.reshape(-1) / np.float32(max(1.0, float(weight.sum())))
-        # Places with weight, in the order of their targets' classes.
+        # Places with weight, in the order of their targets' classes; beyond attention there are no others.
         kind, member = np.divmod(t, MEMBERS)
         order = np.argsort(np.where(w > 0, kind, CLASSES).astype(np.uint8), kind="stable")[: np.count_nonzero(w)]
-        g, kind, member, w = h.take(order, axis=0), kind.take(order), member.take(order), w.take(order)
+        kind, member, w = kind.take(order), member.take(order), w.take(order)
+        z = np.empty((len(order), 2 * WIDTH), x.dtype)
+        z[:, :WIDTH], z[:, WIDTH:] = x.take(order, axis=0), o.take(order, axis=0)
+        g = z @ self.w1
+        g += self.b1
+        np.maximum(g, 0, out=g)
         places = np.arange(len(order))
-        c = g @ self.wc + self.bc
-        c -= c.max(axis=1, keepdims=True)
-        np.exp(c, out=c)
-        c /= c.sum(axis=1, keepdims=True)
-        loss = -float(np.log(c[places, kind] + 1e-30) @ w)
-        c[places, kind] -= 1
-        c *= w[:, None]
-        grad.wc[...], grad.bc[...] = g.T @ c, c.sum(axis=0)
-        dg = c @ self.wc.T
-        m = np.empty((len(order), MEMBERS), h.dtype)
+        c = g @ self.wc
+        c += self.bc
+        likely = softmax(c)[places, kind]
+        m, dg = np.empty((len(order), MEMBERS), g.dtype), np.empty_like(g)
         ends = np.append(0, np.cumsum(np.bincount(kind, minlength=CLASSES))).tolist()
-        some = [(i, ends[i], ends[i + 1]) for i in range(CLASSES) if ends[i] < ends[i + 1]]
-        for i, at, to in some:
-            np.matmul(g[at:to], self.wm[i], out=m[at:to])
+        some = [(i, slice(ends[i], ends[i + 1])) for i in range(CLASSES) if ends[i] < ends[i + 1]]
+        for i, own in some:
+            np.dot(g[own], self.wm[i], out=m[own])
         m += self.bm.take(kind, axis=0)
-        m -= m.max(axis=1, keepdims=True)
-        np.exp(m, out=m)
-        m /= m.sum(axis=1, keepdims=True)
-        loss -= float(np.log(m[places, member] + 1e-30) @ w)
-        m[places, member] -= 1
-        m *= w[:, None]
-        for i, at, to in some:
-            np.matmul(g[at:to].T, m[at:to], out=grad.wm[i])
-            dg[at:to] += m[at:to] @ self.wm[i].T
-        if some:
-            grad.bm[[i for i, _, _ in some]] = np.add.reduceat(m, [at for _, at, _ in some], axis=0)
-        dh = np.zeros_like(h)
-        dh[order] = dg
-        dh *= h > 0
-        grad.w1[...], grad.b1[...] = z.T @ dh, dh.sum(axis=0)
-        dz = (dh @ self.w1.T).reshape(len(x_in), WINDOW, 2 * WIDTH)
-        dx, do = dz[:, :, :WIDTH].copy(), dz[:, :, WIDTH:]
-        da = np.matmul(do, v.transpose(0, 2, 1))
-        dv = np.matmul(a.transpose(0, 2, 1), do)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * SCALE
-        dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-        flat = x.reshape(-1, WIDTH)
-        for name, d in (("wq", dq), ("wk", dk), ("wv", dv)):
-            d = d.reshape(-1, WIDTH)
-            getattr(grad, name)[...] = flat.T @ d
-            dx += (d @ getattr(self, name).T).reshape(dx.shape)
-        grad.pos[...] = dx.sum(axis=0)
-        seen = x_in.reshape(-1)
-        order = np.argsort(seen.astype(np.uint16), kind="stable")
-        seen = seen[order]
-        heads = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
-        grad.emb[seen[heads]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], heads, axis=0)
-        return grad.flat, float(loss)
+        likely *= softmax(m)[places, member]
+        loss = -float(np.log(likely + 1e-30) @ w)
+        for p, at in ((c, kind), (m, member)):
+            p[places, at] -= 1
+            p *= w[:, None]
+        np.matmul(g.T, c, out=grad.wc)
+        c.sum(axis=0, out=grad.bc)
+        for i, own in some:
+            np.dot(g[own].T, m[own], out=grad.wm[i])
+            np.dot(m[own], self.wm[i].T, out=dg[own])
+        of_class = np.zeros((len(order), CLASSES), g.dtype)
+        of_class[places, kind] = 1
+        np.matmul(of_class.T, m, out=grad.bm)
+        dg += c @ self.wc.T
+        dg *= g > 0
+        np.matmul(z.T, dg, out=grad.w1)
+        dg.sum(axis=0, out=grad.b1)
+        dz = dg @ self.w1.T
+        dx, do = np.zeros_like(x), np.zeros_like(o)
+        dx[order], do[order] = dz[:, :WIDTH], dz[:, WIDTH:]
+        # The mean of da by attention is the product of do and the output.
+        mean = ((do * o) @ np.ones(WIDTH, o.dtype)).reshape(len(x_in), WINDOW, 1)
+        do = do.reshape(len(x_in), WINDOW, WIDTH)
+        ds = np.matmul(do, v.transpose(0, 2, 1))
+        ds -= mean
+        ds *= a
+        d = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), do)], axis=2).reshape(-1, 3 * WIDTH)
+        by_weight = x.T @ d
+        grad.wq[...], grad.wk[...], grad.wv[...] = by_weight[:, :WIDTH] * SCALE, by_weight[:, WIDTH : 2 * WIDTH], by_weight[:, 2 * WIDTH :]
+        dx += d @ weights.T
+        grad.pos[...] = dx.reshape(-1, WINDOW * WIDTH).sum(axis=0).reshape(WINDOW, WIDTH)
+        at = x_in.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+        grad.emb[...] = np.bincount(at.reshape(-1), weights=dx.reshape(-1), minlength=SLOTS * WIDTH).reshape(SLOTS, WIDTH)
+        return grad.flat, loss
 
 
 class Scorer:
@@ -223,8 +239,6 @@ class Scorer:
     Logits are shifted by their maximum unless a bound over all inputs keeps them within CEILING, where float32 needs no shift.
     """
 
-    CEILING = np.float32(60)
-
     def __init__(self, net: Network):
         put = lambda x: np.ascontiguousarray(x, np.float32)
         own = (net.emb[None] + net.pos[:, None]).reshape(-1, WIDTH)
@@ -235,14 +249,15 @@ class Scorer:
         self.wc = put(np.vstack([net.wc, net.bc]))
         self.wm = put(np.concatenate([net.wm, net.bm[:, None]], axis=1))
         most = np.maximum(self.value.max(axis=0) + self.skip.max(axis=0), 0)  # attention gives means of values
-        self.shift_match = np.linalg.norm(self.query, axis=1).max() * np.linalg.norm(self.key, axis=1).max() > self.CEILING
-        self.shift_class, self.shift_member = ((most @ np.abs(w)).max() > self.CEILING for w in (self.wc, self.wm))
+        self.shift_match = np.linalg.norm(self.query, axis=1).max() * np.linalg.norm(self.key, axis=1).max() > CEILING
+        self.shift_class, self.shift_member = ((most @ np.abs(w)).max() > CEILING for w in (self.wc, self.wm))
         self.offset = np.arange(WINDOW) * SLOTS
         self.ones, self.full, self.half = np.ones(MEMBERS, np.float32), np.ones(WINDOW, np.float32), np.ones(CLASSES // 2, np.float32)
         self.every = np.ones(CLASSES, np.float32)
         self.causal = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
-    def hidden(self, x_in: np.ndarray) -> np.ndarray:
+    def hidden(self, x_in: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Of the given places, all if none are named; the others only take part in attention."""
         x = x_in + self.offset
         a = np.matmul(self.query.take(x, axis=0), np.ascontiguousarray(self.key.take(x, axis=0).transpose(0, 2, 1)))
         if self.shift_match:
@@ -250,9 +265,9 @@ class Scorer:
             a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
         a *= self.causal
-        h = np.matmul(a, self.value.take(x, axis=0)).reshape(-1, HIDDEN + 1)
-        h /= (a.reshape(-1, WINDOW) @ self.full)[:, None]
-        h += self.skip.take(x.reshape(-1), axis=0)
+        h = np.matmul(a, self.value.take(x, axis=0)).reshape(-1, HIDDEN + 1)[rows]
+        h /= (a.reshape(-1, WINDOW) @ self.full)[rows, None]
+        h += self.skip.take(x.reshape(-1)[rows], axis=0)
         return np.maximum(h, 0, out=h)
 
     def log_probs(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -379,10 +394,9 @@ def network_logs(net: Network, sequence: np.ndarray, lengths: np.ndarray, most:
     for at in range(0, len(first), most):
         f, n, s = first[at : at + most, None], size[at : at + most, None], scored[at : at + most, None]
         place = np.minimum(f + column, len(sequence) - 1)
-        h = scorer.hidden(np.where(column < n, inputs[place], END))
-        own = (column < n) & (column >= n - s)
-        where = place[own]
-        log[where], begins[where] = scorer.log_probs(h.compress(own.reshape(-1), axis=0), sequence[where])
+        rows = np.flatnonzero((column < n) & (column >= n - s))
+        where = place.reshape(-1)[rows]
+        log[where], begins[where] = scorer.log_probs(scorer.hidden(np.where(column < n, inputs[place], END), rows), sequence[where])
     return log, begins
 
 
@@ -486,7 +500,7 @@ def averaged(parts: DataFrame) -> np.ndarray | None:
 
 def fit_slice(net: Network, reader: Reader, texts: pa.Array, seed: int, later: bool) -> int:
     """Adam on all windows of the texts, which change net; gives their number of ids."""
-    m, v, step, rng = np.zeros_like(net.flat), np.zeros_like(net.flat), 0, np.random.default_rng(seed)
+    m, v, by, step, rng = np.zeros_like(net.flat), np.zeros_like(net.flat), np.empty_like(net.flat), 0, np.random.default_rng(seed)
     parts = [reader.sequences(batch.column("text"))[-2:] for batch in by_bytes(iter(pa.table({"text": texts}).to_batches()))]
     if not parts:
         return 0
@@ -503,10 +517,20 @@ def fit_slice(net: Network, reader: Reader, texts: pa.Array, seed: int, later: b
             own = live & (column >= (size - scored)[w, None])
             g, _ = net.gradient(np.where(live, inputs[place], END), np.where(live, sequence[place], END), own.astype(np.float32))
             step += 1
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
             rate = 0.01 / (1 + step / 500) * (0.5 if later else 1)
-            net.flat -= np.float32(rate) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
+            # In place: m += 0.1 (g - m), v += 0.01 (g g - v), and a step of rate by m over sqrt(v), both without their bias to 0.
+            m *= 0.9
+            m += np.multiply(g, 0.1, out=by)
+            v *= 0.99
+            g *= g
+            g *= 0.01
+            v += g
+            np.sqrt(v, out=by)
+            by *= 1 / math.sqrt(1 - 0.99**step)
+            by += 1e-7
+            np.divide(m, by, out=by)
+            by *= rate / (1 - 0.9**step)
+            net.flat -= by
     return len(sequence)
 
 
@@ -531,6 +555,7 @@ def train(training: DataFrame, counts: DataFrame, path: str, n_texts: int, n_sli
         part = training.where(F.col("slice") % turns == r % turns)
         new = averaged(part.groupBy("slice").applyInArrow(fitted(r, flat), "pid long, n long, w binary"))
         flat = flat if new is None else new
+        free_shuffles(training.sparkSession)  # the round's texts; they would stay until the query ends
     return slots, flat
 
 
@@ -567,9 +592,11 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     counts = shared_table(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"))
     n_distinct, n_words = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     n_tokens, n_distinct = n_words + n_ends, n_distinct + (n_ends > 0)
+    free_shuffles(docs.sparkSession)  # the texts that were listed
     slots, flat = train(sliced.where(~F.col("held")).select("slice", "id", "text"), counts, path, n_ends, n_slices)
     common = counts.orderBy(F.desc("c"), "word").limit(FREQUENT)
     frequent = common.toArrow().combine_chunks()
+    free_shuffles(docs.sparkSession)  # Spark keeps the last query's until another one has run
     shared = docs.sparkSession.sparkContext.broadcast((slots, flat, frequent))
     # Bounded by FREQUENT rows.
     rest = counts.join(F.broadcast(common.select("word")), "word", "left_anti")

@@ -56,6 +56,10 @@ def shared_table(df: DataFrame) -> DataFrame:
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps now; it does so when the driver collects its garbage, which a long job may not for hours."""
     gc.collect()
+    # The thread that tells listeners holds the last event, and by it the last query's plan and shuffles; a job's end replaces it.
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    spark.sparkContext._jsc.parallelize([0], 1).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -568,6 +568,30 @@ def test_lm_trains_on_all_texts(spark, monkeypatch):
     assert given[0].pop(-1) == len(training) and given[0] == {x: ids.count(x) for x in set(ids)}
 
 
+def test_lm_frees_its_shuffles(spark, monkeypatch):
+    """What training dealt out is gone before scoring, so that disk doesn't hold the texts once for each step."""
+    import time
+
+    def held():
+        return {x for x in spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().keySet().mkString(",").split(",") if x}
+
+    before, made, averaged = held(), set(), attention_lm.averaged
+
+    def spied(parts):
+        flat = averaged(parts)
+        made.update(held() - before)
+        return flat
+
+    monkeypatch.setattr(attention_lm, "averaged", spied)
+    monkeypatch.setattr(attention_lm, "LEAST_STEPS", 1)
+    attention_lm.score(spark.createDataFrame([(i, f"alpha w{i} beta{i % 50}") for i in range(500)], "doc_id long, text string"), sentencepiece_lattice.default_model())
+    for _ in range(50):
+        if not made & held():
+            break
+        time.sleep(0.2)
+    assert len(made) >= 6 and not made & held()
+
+
 def test_lm_steps_are_small():
     assert attention_lm.BATCH <= 64
 
