@@ -37,7 +37,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import by_bytes, free_shuffles, keyed_text, ragged, ranges, read, shared_table, strings
+from ledgerlens.llm.common import by_bytes, free_shuffles, keyed_text, ragged, read, shared_table, strings
 from ledgerlens.llm.linear import fold
 
 WINDOW, STRIDE = 16, 12
@@ -62,8 +62,8 @@ FREQUENT = 50_000
 #: Weights of the count, network and copy parts that a text may have; all are as likely beforehand.
 MIXTURES = ((0.15, 0.68, 0.17), (0.45, 0.40, 0.15), (0.80, 0.08, 0.12), (0.93, 0.06, 0.01), (0.03, 0.95, 0.02), (0.10, 0.40, 0.50), (0.03, 0.07, 0.90), (0.30, 0.05, 0.65))
 SLICE_BYTES = 8 << 20
-#: Words whose ids a task keeps.
-KEPT_WORDS = 200_000
+#: Words of the texts that are scored at a time.
+PART_WORDS = 300_000
 FOLDS, HELD_OUT = 7, 2
 SHAPES = {
     "emb": (SLOTS, WIDTH), "pos": (WINDOW, WIDTH), "wq": (WIDTH, WIDTH), "wk": (WIDTH, WIDTH), "wv": (WIDTH, WIDTH), "w1": (2 * WIDTH, HIDDEN), "b1": (HIDDEN,),
@@ -80,13 +80,17 @@ def within(logits: np.ndarray) -> bool:
     return not logits.size or bool(logits.max() <= CEILING and logits.min() >= -CEILING)
 
 
-def softmax(logits: np.ndarray) -> np.ndarray:
-    """Of each row, in place; rows are shifted by their maximum only where that is needed."""
+def error(logits: np.ndarray, right: np.ndarray, weight: np.floating) -> np.ndarray:
+    """Turns logits to their gradient, weight * (softmax - 1 at the right answer), in place; gives the probability of the right answer."""
     if not within(logits):
         logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= (logits @ np.ones(logits.shape[1], logits.dtype))[:, None]
-    return logits
+    share = 1 / (logits @ np.ones(logits.shape[1], logits.dtype))
+    at = np.arange(0, logits.size, logits.shape[1]) + right
+    likely = logits.ravel().take(at) * share
+    logits *= (share * weight)[:, None]
+    logits.ravel()[at] -= weight
+    return likely
 
 
 @lru_cache(maxsize=1)
@@ -152,79 +156,87 @@ class Network:
         net.bm[...] = by_class - net.bc[:, None]
         return net
 
-    def attention(self, x_in: np.ndarray):
-        """x_in: (windows, WINDOW) slots. Gives the states of all places, the weights for queries (scaled), keys and values side by side, these three, and attention and its output."""
-        b = len(x_in)
-        x = (self.emb.take(x_in, axis=0) + self.pos).reshape(-1, WIDTH)
-        weights = np.hstack([self.wq * SCALE, self.wk, self.wv])
-        q, k, v = ((x @ weights).reshape(b, WINDOW, 3 * WIDTH)[:, :, i : i + WIDTH] for i in (0, WIDTH, 2 * WIDTH))
-        a = np.matmul(q, k.transpose(0, 2, 1))
+    def folded(self) -> tuple[np.ndarray, np.ndarray]:
+        """Queries by keys as one scaled matrix between two states; and the hidden layer's weights for a state and a mean of states, the values' folded in."""
+        return self.wq @ self.wk.T * SCALE, np.concatenate([self.w1[:WIDTH], self.wv @ self.w1[WIDTH:]])
+
+    def scorer(self) -> Scorer:
+        return Scorer(self)
+
+    def gradient(self, x_in: np.ndarray, target: np.ndarray, weight: np.ndarray, grad: Network | None = None) -> tuple[np.ndarray, float]:
+        """Of the mean loss over the places with weight 1; x_in: (windows, WINDOW) slots. It is put into `grad`, if that is given."""
+        grad = grad or Network(np.empty_like(self.flat))
+        grad.wm[...], grad.bm[...] = 0, 0  # classes without a target
+        b, dtype = len(x_in), self.flat.dtype
+        match, w1 = self.folded()
+        x = self.emb.take(x_in, axis=0)
+        x += self.pos
+        states = x.reshape(-1, WIDTH)
+        # Attention and, later, the gradient of its logits lie one below the other, as do what they are multiplied by.
+        left, right = np.empty((b, 2 * WINDOW, WINDOW), dtype), np.empty((b, 2 * WINDOW, WIDTH), dtype)
+        a, q = left[:, :WINDOW], right[:, WINDOW:]
+        q[...] = (states @ match).reshape(b, WINDOW, WIDTH)
+        np.matmul(q, x.transpose(0, 2, 1), out=a)
         if not within(a):
             a += MASK
             a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
         a *= CAUSAL
-        a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(b, WINDOW, 1)
-        return x, weights, q, k, v, a, np.matmul(a, v).reshape(-1, WIDTH)
-
-    def scorer(self) -> Scorer:
-        return Scorer(self)
-
-    def gradient(self, x_in: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-        """Of the mean loss over the places with weight 1."""
-        grad = Network(np.zeros(len(self.flat), self.flat.dtype))
-        x, weights, q, k, v, a, o = self.attention(x_in)
-        t, w = target.reshape(-1), weight.reshape(-1) / np.float32(max(1.0, float(weight.sum())))
+        np.einsum("bij,bi->bij", a, 1 / np.matmul(a, np.ones(WINDOW, dtype)), out=a)
+        o = np.matmul(a, x).reshape(-1, WIDTH)
+        t = target.reshape(-1)
         # Places with weight, in the order of their targets' classes; beyond attention there are no others.
         kind, member = np.divmod(t, MEMBERS)
-        order = np.argsort(np.where(w > 0, kind, CLASSES).astype(np.uint8), kind="stable")[: np.count_nonzero(w)]
-        kind, member, w = kind.take(order), member.take(order), w.take(order)
-        z = np.empty((len(order), 2 * WIDTH), x.dtype)
-        z[:, :WIDTH], z[:, WIDTH:] = x.take(order, axis=0), o.take(order, axis=0)
-        g = z @ self.w1
+        live = np.count_nonzero(weight)
+        order = np.argsort(np.where(weight.reshape(-1) > 0, kind, CLASSES).astype(np.uint8), kind="stable")[:live]
+        kind, member, w = kind.take(order), member.take(order), dtype.type(1 / max(1, live))
+        z = np.empty((live, 2 * WIDTH), dtype)
+        z[:, :WIDTH], z[:, WIDTH:] = states.take(order, axis=0), o.take(order, axis=0)
+        g = z @ w1
         g += self.b1
         np.maximum(g, 0, out=g)
-        places = np.arange(len(order))
-        c = g @ self.wc
-        c += self.bc
-        likely = softmax(c)[places, kind]
-        m, dg = np.empty((len(order), MEMBERS), g.dtype), np.empty_like(g)
-        ends = np.append(0, np.cumsum(np.bincount(kind, minlength=CLASSES))).tolist()
-        some = [(i, slice(ends[i], ends[i + 1])) for i in range(CLASSES) if ends[i] < ends[i + 1]]
+        ends = np.append(0, np.cumsum(np.bincount(kind, minlength=CLASSES)))
+        some = [(i, slice(m, n)) for i, (m, n) in enumerate(pairwise(ends.tolist())) if m < n]
+        m, dg = np.empty((live, MEMBERS), dtype), np.empty((live, HIDDEN), dtype)
         for i, own in some:
             np.dot(g[own], self.wm[i], out=m[own])
         m += self.bm.take(kind, axis=0)
-        likely *= softmax(m)[places, member]
-        loss = -float(np.log(likely + 1e-30) @ w)
-        for p, at in ((c, kind), (m, member)):
-            p[places, at] -= 1
-            p *= w[:, None]
+        c = g @ self.wc
+        c += self.bc
+        likely = error(c, kind, w)
+        likely *= error(m, member, w)
+        loss = -float(np.log(likely + 1e-30).sum() * w)
+        one = np.ones(live, dtype)
         np.matmul(g.T, c, out=grad.wc)
-        c.sum(axis=0, out=grad.bc)
+        np.matmul(one, c, out=grad.bc)
         for i, own in some:
             np.dot(g[own].T, m[own], out=grad.wm[i])
+            np.dot(one[own], m[own], out=grad.bm[i])
             np.dot(m[own], self.wm[i].T, out=dg[own])
-        of_class = np.zeros((len(order), CLASSES), g.dtype)
-        of_class[places, kind] = 1
-        np.matmul(of_class.T, m, out=grad.bm)
         dg += c @ self.wc.T
         dg *= g > 0
-        np.matmul(z.T, dg, out=grad.w1)
-        dg.sum(axis=0, out=grad.b1)
-        dz = dg @ self.w1.T
-        dx, do = np.zeros_like(x), np.zeros_like(o)
-        dx[order], do[order] = dz[:, :WIDTH], dz[:, WIDTH:]
+        by_weight = z.T @ dg
+        grad.w1[:WIDTH], grad.w1[WIDTH:], grad.wv[...] = by_weight[:WIDTH], self.wv.T @ by_weight[WIDTH:], by_weight[WIDTH:] @ self.w1[WIDTH:].T
+        np.matmul(one, dg, out=grad.b1)
+        # Places without weight read a last row of zeros.
+        dz = np.zeros((live + 1, 2 * WIDTH), dtype)
+        np.matmul(dg, w1.T, out=dz[:live])
+        row = np.full(len(t), live)
+        row[order] = np.arange(live)
+        dz = dz.take(row, axis=0)
+        do, ds = right[:, :WINDOW], left[:, WINDOW:]
+        do[...] = dz[:, WIDTH:].reshape(b, WINDOW, WIDTH)
+        np.matmul(do, x.transpose(0, 2, 1), out=ds)
         # The mean of da by attention is the product of do and the output.
-        mean = ((do * o) @ np.ones(WIDTH, o.dtype)).reshape(len(x_in), WINDOW, 1)
-        do = do.reshape(len(x_in), WINDOW, WIDTH)
-        ds = np.matmul(do, v.transpose(0, 2, 1))
-        ds -= mean
+        ds -= ((dz[:, WIDTH:] * o) @ np.ones(WIDTH, dtype)).reshape(b, WINDOW, 1)
         ds *= a
-        d = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), do)], axis=2).reshape(-1, 3 * WIDTH)
-        by_weight = x.T @ d
-        grad.wq[...], grad.wk[...], grad.wv[...] = by_weight[:, :WIDTH] * SCALE, by_weight[:, WIDTH : 2 * WIDTH], by_weight[:, 2 * WIDTH :]
-        dx += d @ weights.T
-        grad.pos[...] = dx.reshape(-1, WINDOW * WIDTH).sum(axis=0).reshape(WINDOW, WIDTH)
+        dq = np.matmul(ds, x).reshape(-1, WIDTH)
+        dx = np.matmul(left.transpose(0, 2, 1), right).reshape(-1, WIDTH)
+        dx += dz[:, :WIDTH]
+        dx += dq @ match.T
+        by_weight = states.T @ dq
+        grad.wq[...], grad.wk[...] = by_weight @ self.wk * SCALE, by_weight.T @ self.wq * SCALE
+        np.matmul(np.ones(b, dtype), dx.reshape(b, -1), out=grad.pos.reshape(-1))
         at = x_in.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
         grad.emb[...] = np.bincount(at.reshape(-1), weights=dx.reshape(-1), minlength=SLOTS * WIDTH).reshape(SLOTS, WIDTH)
         return grad.flat, loss
@@ -234,69 +246,64 @@ class Scorer:
     """Forward alone, from tables.
 
     What a place puts into attention depends on its slot and its place in the window only, so the
-    queries, keys, values and the part of the hidden state that skips attention are looked up,
-    with products of weights folded. A last hidden unit that is always 1 carries the biases.
-    Logits are shifted by their maximum unless a bound over all inputs keeps them within CEILING, where float32 needs no shift.
+    states, queries and the part of the hidden state that skips attention are looked up,
+    with products of weights folded. A last hidden unit that is always 1 carries the biases. Logits of class and member come from
+    one product a class. They are shifted by their maximum only where float32 needs that.
     """
 
     def __init__(self, net: Network):
         put = lambda x: np.ascontiguousarray(x, np.float32)
+        match, w1 = net.folded()
         own = (net.emb[None] + net.pos[:, None]).reshape(-1, WIDTH)
-        unit = np.ones((len(own), 1))
-        self.key, self.query = put(own), put(own @ (net.wq @ net.wk.T * SCALE))
-        self.value = put(np.hstack([own @ (net.wv @ net.w1[WIDTH:]), 0 * unit]))
-        self.skip = put(np.hstack([own @ net.w1[:WIDTH] + net.b1, unit]))
-        self.wc = put(np.vstack([net.wc, net.bc]))
-        self.wm = put(np.concatenate([net.wm, net.bm[:, None]], axis=1))
-        most = np.maximum(self.value.max(axis=0) + self.skip.max(axis=0), 0)  # attention gives means of values
-        self.shift_match = np.linalg.norm(self.query, axis=1).max() * np.linalg.norm(self.key, axis=1).max() > CEILING
-        self.shift_class, self.shift_member = ((most @ np.abs(w)).max() > CEILING for w in (self.wc, self.wm))
+        self.state, self.query, self.attended = put(own), put(own @ match), put(np.hstack([w1[WIDTH:], np.zeros((WIDTH, 1))]))
+        self.skip = put(np.hstack([own @ w1[:WIDTH] + net.b1, np.ones((len(own), 1))]))
+        kinds = np.vstack([net.wc, net.bc])
+        self.out = [put(np.hstack([kinds, np.vstack([w, b])])) for w, b in zip(net.wm, net.bm, strict=True)]
         self.offset = np.arange(WINDOW) * SLOTS
-        self.ones, self.full, self.half = np.ones(MEMBERS, np.float32), np.ones(WINDOW, np.float32), np.ones(CLASSES // 2, np.float32)
-        self.every = np.ones(CLASSES, np.float32)
-        self.causal = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+        # Of the exponentials: all classes, those that begin a word, all members.
+        self.sums = np.zeros((CLASSES + MEMBERS, 3), np.float32)
+        self.sums[:CLASSES, 0], self.sums[: CLASSES // 2, 1], self.sums[CLASSES:, 2] = 1, 1, 1
 
-    def hidden(self, x_in: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
-        """Of the given places, all if none are named; the others only take part in attention."""
+    def hidden(self, x_in: np.ndarray, lead: int = 0) -> np.ndarray:
+        """Of all places but the first `lead` of each window, which only take part in attention."""
         x = x_in + self.offset
-        a = np.matmul(self.query.take(x, axis=0), np.ascontiguousarray(self.key.take(x, axis=0).transpose(0, 2, 1)))
-        if self.shift_match:
-            a += MASK
+        state, asked = self.state.take(x, axis=0), x[:, lead:]
+        a = np.matmul(self.query.take(asked, axis=0), state.transpose(0, 2, 1))
+        if not within(a):
+            a += MASK[lead:]
             a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
-        a *= self.causal
-        h = np.matmul(a, self.value.take(x, axis=0)).reshape(-1, HIDDEN + 1)[rows]
-        h /= (a.reshape(-1, WINDOW) @ self.full)[rows, None]
-        h += self.skip.take(x.reshape(-1)[rows], axis=0)
+        a *= CAUSAL[lead:]
+        o = np.matmul(a, state).reshape(-1, WIDTH)
+        np.einsum("ij,i->ij", o, 1 / (a.reshape(-1, WINDOW) @ CAUSAL[-1]), out=o)
+        h = o @ self.attended
+        h += self.skip.take(asked.reshape(-1), axis=0)
         return np.maximum(h, 0, out=h)
 
-    def log_probs(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability of the target slots; and, where the target begins a word or ends the text, that one does."""
-        kind, member = target // MEMBERS, target % MEMBERS
+    def log_probs(self, h: np.ndarray, target: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of the target slots, of the given rows of h (or all); and, where the target begins a word or ends the text, that one does."""
+        kind, member = np.divmod(target, MEMBERS)
         order = np.argsort(kind.astype(np.uint8), kind="stable")
-        h, kind, member = h.take(order, axis=0), kind.take(order), member.take(order)
-        c = h @ self.wc
-        if self.shift_class:
-            c -= c.max(axis=1, keepdims=True)
-        place = np.arange(0, c.size, CLASSES)
-        log = c.ravel().take(place + kind)
-        np.exp(c, out=c)
-        ends = np.append(0, np.cumsum(np.bincount(kind, minlength=CLASSES)))
-        log_total = np.log(c @ self.every)
-        n = ends[CLASSES // 2]
-        starts = np.zeros(len(c), np.float32)
-        starts[order[:n]] = np.log(np.maximum(c[:n, : CLASSES // 2] @ self.half, 1e-30)) - log_total[:n]
-        inner = np.empty(len(c), np.float32)
-        for k in np.flatnonzero(np.diff(ends)).tolist():
-            at, to = ends[k], ends[k + 1]
-            m = h[at:to] @ self.wm[k]
-            if self.shift_member:
-                m -= m.max(axis=1, keepdims=True)
-            log[at:to] += m.ravel().take(place[: to - at] + member[at:to])
+        h, member = h.take(order if rows is None else rows.take(order), axis=0), member.take(order)
+        ends = np.append(0, np.cumsum(np.bincount(kind, minlength=CLASSES))).tolist()
+        log, sums = np.empty(len(h), np.float32), np.empty((len(h), 3), np.float32)
+        for k, (at, to) in enumerate(pairwise(ends)):
+            if at == to:
+                continue
+            m = h[at:to] @ self.out[k]
+            if not within(m):
+                for part in (m[:, :CLASSES], m[:, CLASSES:]):
+                    part -= part.max(axis=1, keepdims=True)
+            np.add(m[:, k], m.ravel().take(np.arange(CLASSES, m.size, CLASSES + MEMBERS) + member[at:to]), out=log[at:to])
             np.exp(m, out=m)
-            inner[at:to] = m @ self.ones
-        out = np.empty(len(c), np.float32)
-        out[order] = log - log_total - np.log(inner)
+            np.matmul(m, self.sums, out=sums[at:to])
+        n = ends[CLASSES // 2]
+        sums[:n, 1] = np.maximum(sums[:n, 1], 1e-30)
+        sums[n:, 1] = 1  # not asked for
+        np.log(sums, out=sums)
+        out, starts = np.empty(len(h), np.float32), np.zeros(len(h), np.float32)
+        starts[order[:n]] = sums[:n, 1] - sums[:n, 0]
+        out[order] = log - sums[:, 0] - sums[:, 2]
         return out, starts
 
 
@@ -323,80 +330,70 @@ def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 class Reader:
-    """Texts to words, and words to slots. Keeps the ids of words, up to a bound."""
+    """Texts to words, and words to slots."""
 
     def __init__(self, path: str, slots: Slots | None):
         self.model, self.slots = subwords(path), slots
-        self.forget()
-
-    def forget(self) -> None:
-        self.row: dict[str, int] = {}
-        self.kept, self.begin, self.number = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def rows_of(self, distinct: list[str]) -> np.ndarray:
-        """Where each word's ids are kept."""
-        new = [w for w in distinct if w not in self.row]
-        if new:
-            if self.row and len(self.row) + len(new) > KEPT_WORDS:
-                self.forget()
-                new = distinct
-            # A word that the vocabulary reads as nothing still has one id.
-            ids = [i or [0] for i in self.model.encode(new)]
-            number = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.row.update(zip(new, range(len(self.begin), len(self.begin) + len(new)), strict=True))
-            self.begin = np.append(self.begin, len(self.kept) + np.cumsum(number) - number)
-            self.number = np.append(self.number, number)
-            self.kept = np.append(self.kept, np.fromiter(chain.from_iterable(ids), np.int32, int(number.sum())))
-        return np.fromiter(map(self.row.__getitem__, distinct), np.int64, len(distinct))
+
+    def ids_of(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Subword ids of the words, one after the other, and how many each has."""
+        # A word that the vocabulary reads as nothing still has one id. One thread: a task has one core.
+        ids = [i or [0] for i in self.model.encode(distinct, num_threads=1)]
+        number = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(number.sum())), number
 
     def slots_of(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Slots of all words, the log share of ids in shared slots summed by word, and how many slots each word has."""
-        row = self.rows_of(distinct)
-        number = self.number[row]
-        ids = self.kept[ranges(self.begin[row], number)]
-        slots = self.slots.slot[ids].astype(np.int64)
+        ids, number = self.ids_of(distinct)
+        slots = self.slots.slot[ids]
         begins = ragged(number)[0]
         inner = np.ones(len(slots), bool)
         inner[begins] = False
         # An id on the wrong side of a word's beginning takes the shared slot of its side.
-        slots = np.where(inner & (slots < RARE_NEXT), RARE_NEXT, np.where(~inner & (slots >= RARE_NEXT), RARE_FIRST, slots))
+        slots = np.where(inner & (slots < RARE_NEXT), RARE_NEXT, np.where(~inner & (slots >= RARE_NEXT), RARE_FIRST, slots)).astype(np.int16)
         share = np.add.reduceat(self.slots.log_share[ids], begins) if len(ids) else np.zeros(0)
         return slots, share, number
 
-    def sequences(self, texts: pa.Array):
-        """Words as numbers of distinct words; slots of each text with its end, and where each word begins."""
-        flat, n_words = words_in(texts)
-        coded = flat.dictionary_encode()
-        distinct, number = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
-        slots, share, each = self.slots_of(distinct)
-        begin = ragged(each)[0]
-        long = each[number]
-        inner = slots[ranges(begin[number], long)]
-        # The end of each text goes after its last word.
-        of_text = np.repeat(np.arange(len(n_words)), n_words)
-        lengths = np.bincount(of_text, weights=long, minlength=len(n_words)).astype(np.int64) + 1
-        word_at = np.cumsum(long) - long + of_text
-        sequence = np.full(int(lengths.sum()), END, np.int64)
-        body = np.ones(len(sequence), bool)
-        body[np.cumsum(lengths) - 1] = False
-        sequence[body] = inner
-        return distinct, number, n_words, share, word_at, sequence, lengths
-
-
-def network_logs(net: Network, sequence: np.ndarray, lengths: np.ndarray, most: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+
+def numbered(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words, all words of all texts as numbers of these, and how many each text has."""
+    flat, n_words = words_in(texts)
+    coded = flat.dictionary_encode()
+    # By way of NumPy, which takes a tenth of the time of to_pylist.
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices).astype(np.int64), n_words
+
+
+def sequences(slots: np.ndarray, each: np.ndarray, number: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of each text with its end, how many these are, and where each word begins."""
+    # The end goes after each text's last word, as one more word.
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.append(each, 1))), pa.int32()), pa.array(np.append(slots, np.int16(END))))
+    stop = np.cumsum(n_words)
+    number = np.insert(number, stop, len(each))
+    sequence = np.asarray(lists.take(pa.array(number)).flatten())
+    long = np.append(each, 1)[number]
+    begin = np.cumsum(long) - long
+    ends = stop + np.arange(len(stop))
+    lengths = np.diff((begin + long)[ends], prepend=0)
+    return sequence, lengths, np.delete(begin, ends)
+
+
+def network_logs(scorer: Scorer, sequence: np.ndarray, lengths: np.ndarray, most: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Log probability of each slot given those before it in its text; where it begins a word or is the end, also that one begins."""
     inputs = np.empty_like(sequence)
     inputs[1:] = sequence[:-1]
     inputs[ragged(lengths)[0]] = END
     first, size, scored = windows(lengths)
     log, begins = np.zeros(len(sequence), np.float32), np.zeros(len(sequence), np.float32)
-    column, scorer = np.arange(WINDOW), net.scorer()
-    for at in range(0, len(first), most):
-        f, n, s = first[at : at + most, None], size[at : at + most, None], scored[at : at + most, None]
-        place = np.minimum(f + column, len(sequence) - 1)
-        rows = np.flatnonzero((column < n) & (column >= n - s))
-        where = place.reshape(-1)[rows]
-        log[where], begins[where] = scorer.log_probs(scorer.hidden(np.where(column < n, inputs[place], END), rows), sequence[where])
+    column = np.arange(WINDOW)
+    for lead in (0, WINDOW - STRIDE):
+        some = np.flatnonzero(size - scored == lead)
+        for at in range(0, len(some), most):
+            f, n = first[some[at : at + most], None], size[some[at : at + most], None]
+            place = np.minimum(f + column, len(sequence) - 1)
+            live = column < n
+            rows = np.flatnonzero(live[:, lead:])
+            where = place[:, lead:].reshape(-1).take(rows)
+            log[where], begins[where] = scorer.log_probs(scorer.hidden(np.where(live, inputs[place], END), lead), sequence[where], rows)
     return log, begins
 
 
@@ -422,16 +419,29 @@ def counts_of(distinct: list[str], words: pa.Array, counts: np.ndarray) -> np.nd
 
 def score_texts(reader: Reader, net: Network, texts: pa.Array, words: pa.Array, word_counts: np.ndarray, n_tokens: int, n_ends: int) -> pd.DataFrame:
     """n_tokens, n_known, sum of log10(c + 1), and the log10 probability of each text by the model and by the network alone."""
-    distinct, number, n_words, share, word_at, sequence, lengths = reader.sequences(texts)
-    log, begins = network_logs(net, sequence, lengths)
+    # Equal texts are scored once: a product's rounding may depend on the row, and equal texts have equal scores.
+    once = strings(texts).dictionary_encode()
+    distinct, number, n_words = numbered(once.dictionary)
+    counts, of_words, scorer = counts_of(distinct, words, word_counts), reader.slots_of(distinct), net.scorer()
+    stop, parts, at = np.cumsum(n_words), [], 0
+    while at < len(n_words) or not parts:
+        before = stop[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(stop, before + PART_WORDS, side="right")))
+        some = number[before : stop[to - 1] if len(n_words) else 0]
+        parts.append(score_part(scorer, some, n_words[at:to], counts, *of_words, n_tokens, n_ends))
+        at = to
+    return pd.concat(parts, ignore_index=True).take(np.asarray(once.indices)).reset_index(drop=True)
+
+
+def score_part(scorer: Scorer, number: np.ndarray, n_words: np.ndarray, word_counts: np.ndarray, slots: np.ndarray, share: np.ndarray, each: np.ndarray, n_tokens: int, n_ends: int) -> pd.DataFrame:
+    """Of texts whose words are numbers of distinct words; of these the counts, slots, log shares and numbers of slots are given."""
+    sequence, lengths, word_at = sequences(slots, each, number, n_words)
+    log, begins = network_logs(scorer, sequence, lengths)
     sums = np.concatenate([[0.0], np.cumsum(log, dtype=np.float64)])
     end_at = np.cumsum(lengths) - 1
-    # A word's slots go up to the next word or the end of its text.
-    stop = np.append(word_at[1:], 0)
-    last = np.cumsum(n_words)[n_words > 0] - 1
-    stop[last] = end_at[n_words > 0]
+    stop = word_at + each[number]
     own = sums[stop] - sums[word_at] - begins[word_at] + begins[stop] + share[number]
-    counts = counts_of(distinct, words, word_counts)[number]
+    counts = word_counts[number]
     copied, before = earlier(number, n_words)
     some = before > 0
     owner = np.repeat(np.arange(len(n_words)), n_words)
@@ -470,10 +480,8 @@ def subword_counts(counts: DataFrame, n_ends: int, path: str) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(subwords(path).get_piece_size(), np.int64)
         for batch in by_bytes(batches, "word"):
-            reader = Reader(path, None)  # no word comes twice
-            row = reader.rows_of(batch.column("word").to_pylist())
-            times = np.repeat(np.asarray(batch.column("c")), reader.number[row])
-            np.add.at(found, reader.kept[ranges(reader.begin[row], reader.number[row])], times)
+            ids, number = Reader(path, None).ids_of(batch.column("word").to_numpy(zero_copy_only=False).tolist())
+            np.add.at(found, ids, np.repeat(np.asarray(batch.column("c")), number))
         some = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(found[some])], names=["id", "n"])
 
@@ -501,36 +509,45 @@ def averaged(parts: DataFrame) -> np.ndarray | None:
 def fit_slice(net: Network, reader: Reader, texts: pa.Array, seed: int, later: bool) -> int:
     """Adam on all windows of the texts, which change net; gives their number of ids."""
     m, v, by, step, rng = np.zeros_like(net.flat), np.zeros_like(net.flat), np.empty_like(net.flat), 0, np.random.default_rng(seed)
-    parts = [reader.sequences(batch.column("text"))[-2:] for batch in by_bytes(iter(pa.table({"text": texts}).to_batches()))]
-    if not parts:
+    if not len(texts):
         return 0
-    sequence, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
-    inputs = np.append(END, sequence[:-1])
+    distinct, number, n_words = numbered(texts)
+    slots, _, each = reader.slots_of(distinct)
+    sequence, lengths, _ = sequences(slots, each, number, n_words)
+    inputs = np.empty_like(sequence)
+    inputs[1:] = sequence[:-1]
     inputs[ragged(lengths)[0]] = END
     first, size, scored = windows(lengths)
     column, epochs = np.arange(WINDOW), min(MOST_EPOCHS, max(1, -(-LEAST_STEPS * BATCH // max(1, len(first)))))
-    for order in (rng.permutation(len(first)) for _ in range(epochs)):
-        for at in range(0, len(order), BATCH):
-            w = order[at : at + BATCH]
-            place = np.minimum(first[w, None] + column, len(sequence) - 1)
-            live = column < size[w, None]
-            own = live & (column >= (size - scored)[w, None])
-            g, _ = net.gradient(np.where(live, inputs[place], END), np.where(live, sequence[place], END), own.astype(np.float32))
-            step += 1
-            rate = 0.01 / (1 + step / 500) * (0.5 if later else 1)
-            # In place: m += 0.1 (g - m), v += 0.01 (g g - v), and a step of rate by m over sqrt(v), both without their bias to 0.
-            m *= 0.9
-            m += np.multiply(g, 0.1, out=by)
-            v *= 0.99
-            g *= g
-            g *= 0.01
-            v += g
-            np.sqrt(v, out=by)
-            by *= 1 / math.sqrt(1 - 0.99**step)
-            by += 1e-7
-            np.divide(m, by, out=by)
-            by *= rate / (1 - 0.9**step)
-            net.flat -= by
+    lead, grad = size - scored, Network(np.empty_like(net.flat))
+
+    def batches() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Inputs, targets and weights, gathered for some batches at once."""
+        for order in (rng.permutation(len(first)) for _ in range(epochs)):
+            for many in range(0, len(order), 32 * BATCH):
+                w = order[many : many + 32 * BATCH, None]
+                place = np.minimum(first[w] + column, len(sequence) - 1)
+                live = column < size[w]
+                x, y, own = np.where(live, inputs[place], END).astype(np.int64), np.where(live, sequence[place], END).astype(np.int64), live & (column >= lead[w])
+                for at in range(0, len(w), BATCH):
+                    yield x[at : at + BATCH], y[at : at + BATCH], own[at : at + BATCH]
+
+    for batch in batches():
+        g, _ = net.gradient(*batch, grad)
+        step += 1
+        rate = 0.01 / (1 + step / 500) * (0.5 if later else 1)
+        # In place: m and v are 10 and 100 times the means of g and g g, and the step is rate by the one over the root of the other, without their bias to 0.
+        m *= 0.9
+        m += g
+        v *= 0.99
+        g *= g
+        v += g
+        unbiased = math.sqrt(1 - 0.99**step)
+        np.sqrt(v, out=by)
+        by += 1e-6 * unbiased
+        np.divide(m, by, out=by)
+        by *= rate * unbiased / (1 - 0.9**step)
+        net.flat -= by
     return len(sequence)
 
 
@@ -546,7 +563,7 @@ def train(training: DataFrame, counts: DataFrame, path: str, n_texts: int, n_sli
         def fit(table: pa.Table) -> pa.Table:
             slots, flat = shared.value
             net, number = Network(flat.copy()), table["slice"][0].as_py()
-            seen = fit_slice(net, Reader(path, slots), in_order(table)["text"], 1000 * number + r, r > 0)
+            seen = fit_slice(net, Reader(path, slots), in_order(table)["text"].combine_chunks(), 1000 * number + r, r > 0)
             return pa.table({"pid": pa.array([number], pa.int64()), "n": pa.array([seen], pa.int64()), "w": pa.array([net.flat.tobytes()], pa.binary())})
 
         return fit
@@ -607,12 +624,9 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         reader, net = Reader(path, slots), Network(flat)
         value_set = pa.chunked_array([*frequent["word"].chunks, *words["word"].chunks], pa.string()).cast(pa.large_string()).combine_chunks()
         counts = np.concatenate([np.asarray(frequent["c"]), np.asarray(words["c"])])
-        out = []
-        for batch in by_bytes(iter(in_order(texts).to_batches()), most=2 << 20):
-            found = score_texts(reader, net, batch.column("text"), value_set, counts, n_tokens, n_ends)
-            out.append(pa.Table.from_pydict({"doc_id": batch.column("id"), **{c: pa.array(found[c].to_numpy()) for c in found}}))
-        empty = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), *((c, pa.float64()) for c in ("log_counts", "score", "network_score"))])
-        return pa.concat_tables(out) if out else empty.empty_table()
+        texts = in_order(texts)
+        found = score_texts(reader, net, texts["text"].combine_chunks(), value_set, counts, n_tokens, n_ends)
+        return pa.table({"doc_id": texts["id"], **{c: pa.array(found[c].to_numpy()) for c in found}})
 
     rows = sliced.select("slice", "id", "text").groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(scored, "doc_id long, n_tokens long, n_known long, log_counts double, score double, network_score double")
     base = F.col("log_counts") - F.col("n_tokens") * math.log10(n_tokens + n_distinct + 1)

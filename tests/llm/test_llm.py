@@ -592,6 +592,54 @@ def test_lm_frees_its_shuffles(spark, monkeypatch):
     assert len(made) >= 6 and not made & held()
 
 
+def test_lm_reads_a_word_once_on_one_thread(monkeypatch):
+    """Fitting and scoring split each distinct word of a slice once, and only on the core that the task has."""
+    path = sentencepiece_lattice.default_model()
+    model, calls = attention_lm.subwords(path), []
+
+    class Spy:
+        get_piece_size, id_to_piece = model.get_piece_size, model.id_to_piece
+
+        def encode(self, words, **options):
+            calls.append((words, options))
+            return model.encode(words, **options)
+
+    monkeypatch.setattr(attention_lm, "subwords", lambda path: Spy())
+    texts = pa.array([f"alpha beta w{i % 7} alpha" for i in range(50)])
+    slots = attention_lm.make_slots(path, {-1: 50})
+    net = attention_lm.Network.start(slots.log_counts)
+    assert attention_lm.fit_slice(net, attention_lm.Reader(path, slots), texts, 1, False) > 250
+    attention_lm.score_texts(attention_lm.Reader(path, slots), net, texts, pa.array(["alpha"], pa.large_string()), np.array([100]), 250, 50)
+    assert len(calls) == 2 and all(sorted(w) == sorted(["alpha", "beta", *(f"w{i}" for i in range(7))]) and o == {"num_threads": 1} for w, o in calls)
+
+
+def test_lm_scores_texts_in_parts(monkeypatch):
+    """The same scores whether a slice's texts are scored at once or a few words at a time."""
+    path = sentencepiece_lattice.default_model()
+    texts = pa.array([None, "", *(" ".join(f"w{i * k % 11}" for k in range(i)) for i in range(40)), " "])
+    slots = attention_lm.make_slots(path, {-1: 43})
+    found = []
+    for most in (300_000, 50, 1):
+        monkeypatch.setattr(attention_lm, "PART_WORDS", most)
+        found.append(attention_lm.score_texts(attention_lm.Reader(path, slots), attention_lm.Network.start(slots.log_counts), texts, pa.array(["w1"], pa.large_string()), np.array([9]), 99, 43))
+    assert len(found[0]) == 43 and found[0]["n_tokens"].tolist() == [1, 1, *range(1, 41), 1]
+    assert all(np.allclose(found[0], f, rtol=1e-6, atol=1e-6) for f in found[1:])
+
+
+def test_lm_scorer_leaves_out_lead_places():
+    """Hidden states of the later places alone are those of all places; so are log probabilities of some rows."""
+    rng = np.random.default_rng(5)
+    net = attention_lm.Network.start(np.log(np.full(attention_lm.SLOTS, 1 / attention_lm.SLOTS)).astype(np.float32))
+    scorer, lead = net.scorer(), attention_lm.WINDOW - attention_lm.STRIDE
+    x, y = rng.integers(0, attention_lm.SLOTS, (2, 6, attention_lm.WINDOW))
+    every, later = scorer.hidden(x), scorer.hidden(x, lead)
+    assert np.allclose(every.reshape(6, attention_lm.WINDOW, -1)[:, lead:].reshape(len(later), -1), later, atol=1e-5)
+    rows = np.flatnonzero(rng.random(len(later)) < 0.5)
+    target = y[:, lead:].reshape(-1)
+    for a, b in zip(scorer.log_probs(later, target), scorer.log_probs(later, target[rows], rows), strict=True):
+        assert np.allclose(a[rows], b, atol=1e-5)
+
+
 def test_lm_steps_are_small():
     assert attention_lm.BATCH <= 64
 
